@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import toxicity
+from tessera.llm import quality_classifier, quality_rules, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"op1_toxicity": toxicity.op1_toxicity}
+    return {
+        "op1_toxicity": toxicity.op1_toxicity,
+        "op2_quality_classifier": quality_classifier.op2_quality_classifier,
+        "op3_quality_rules": quality_rules.op3_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
