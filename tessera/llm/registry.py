@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import quality_classifier, quality_rules, toxicity
+from tessera.llm import packing, quality_classifier, quality_rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +16,8 @@ def queries() -> dict[str, Query]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_quality_rules": quality_rules.op3_quality_rules,
+        "op4_packing": packing.op4_packing,
+        "op6_simhash": simhash.op6_simhash,
     }
 
 
