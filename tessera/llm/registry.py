@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import packing, quality_classifier, quality_rules, simhash, toxicity
+from tessera.llm import mixing, packing, quality_classifier, quality_rules, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,8 +18,9 @@ def queries() -> dict[str, Query]:
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_packing": packing.op4_packing,
         "op6_simhash": simhash.op6_simhash,
+        "op7_mixing": mixing.op7_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_mixing": mixing.OP7_SQL}
