@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, packing, quality_classifier, quality_rules, simhash, toxicity
+from tessera.llm import mixing, multiset_hash, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +19,8 @@ def queries() -> dict[str, Query]:
         "op4_packing": packing.op4_packing,
         "op6_simhash": simhash.op6_simhash,
         "op7_mixing": mixing.op7_mixing,
+        "op8_multiset_hash": multiset_hash.op8_multiset_hash,
+        "op9_secrets": secrets.op9_secrets,
     }
 
 
