@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import mixing, multiset_hash, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
+from tessera.llm import licenses, mixing, multiset_hash, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,7 @@ def queries() -> dict[str, Query]:
         "op7_mixing": mixing.op7_mixing,
         "op8_multiset_hash": multiset_hash.op8_multiset_hash,
         "op9_secrets": secrets.op9_secrets,
+        "op10_licenses": licenses.op10_licenses,
     }
 
 
