@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import licenses, mixing, multiset_hash, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
+from tessera.llm import language_model, licenses, mixing, multiset_hash, packing, quality_classifier, quality_rules, secrets, simhash, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,6 +17,7 @@ def queries() -> dict[str, Query]:
         "op2_quality_classifier": quality_classifier.op2_quality_classifier,
         "op3_quality_rules": quality_rules.op3_quality_rules,
         "op4_packing": packing.op4_packing,
+        "op5_language_model": language_model.op5_language_model,
         "op6_simhash": simhash.op6_simhash,
         "op7_mixing": mixing.op7_mixing,
         "op8_multiset_hash": multiset_hash.op8_multiset_hash,
