@@ -31,30 +31,22 @@ def _ends_in_letter(core: bytes) -> bool:
 class RunTokens(dict):
     """Run of bytes to its ids as little-endian unsigned 32-bit bytes; forgets when it grows large."""
 
-    def __init__(self, path: str, most_runs: int = 400_000, most_cores: int = 900_000) -> None:
+    def __init__(self, path: str, most: int = 1_500_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most_runs, self.most_cores = Tokenizer.from_file(path), most_runs, most_cores
-        self.cores: dict[bytes, bytes] = {}
-
-    def _core(self, core: bytes) -> bytes:
-        if (out := self.cores.get(core)) is None:
-            if len(self.cores) >= self.most_cores:
-                self.cores.clear()
-            ids = self.tokenizer.encode(core.decode("utf-8", "replace"), add_special_tokens=False).ids
-            self.cores[core] = out = np.array(ids, "<u4").tobytes()
-        return out
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
 
     def __missing__(self, run: bytes) -> bytes:
+        if len(self) >= self.most:
+            self.clear()
         core = run.rstrip(CLOSING)
         if core and len(core) < len(run) and _ends_in_letter(core):
-            out = self._core(core) + self._core(run[len(core) :])
+            out = self[core] + self[run[len(core) :]]
         else:
-            out = self._core(run)
-        if len(self) >= self.most_runs:
-            self.clear()
+            ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
+            out = np.array(ids, "<u4").tobytes()
         self[run] = out
         return out
 
