@@ -1,4 +1,7 @@
-"""The registered queries of the snippet and comparison engine, with their SQL counterparts."""
+"""The registered queries of the snippet and comparison engine, each with the SQL that must give the same rows.
+
+Every query runs over whole tables. "Changed" orders are a copy in which each 97th key has one more in its total price.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +10,348 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import types as L
+from tessera.operators.compare import cast_to_common, compare_tables, sort_keys
+from tessera.operators.positions import POSITION, given_positions, sorted_positions
+from tessera.plans.policy import Policy
+from tessera.plans.schemas import compare_schemas
+from tessera.plans.script import Script
+from tessera.plans.snippet import by_tag
+from tessera.sources.fixtures import FixtureColumn, FixtureData, SqlType
+from tessera.types import Schema
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+SCRIPT = """
+WITH shifted AS (
+  -- @tag(shifted)
+  SELECT num, num + 2 AS num_plus_two, name
+  FROM numbers
+),
+tripled AS (
+  SELECT num, num + 3 AS num_plus_three FROM numbers
+),
+distinct_regions AS (
+  /* @tag(regions_plus) */
+  SELECT region, region + 4 AS region_plus_four
+  FROM ( -- @tag(inner_regions)
+    SELECT DISTINCT region FROM numbers
+  )
+)
+-- @tag(main)
+SELECT c.num, c.name, s.num_plus_two, t.num_plus_three, d.region_plus_four
+FROM customers c
+LEFT JOIN shifted s ON c.num = s.num
+LEFT JOIN tripled t ON c.num = t.num
+LEFT JOIN distinct_regions d ON c.region = d.region;
+
+-- @tag(pairs)
+SELECT low.num AS low_num, high.num AS high_num, low.region
+FROM nations AS low JOIN nations AS high ON low.region = high.region AND low.num < high.num
+"""
+
+
+def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _read(spark, sf_dir, "nation").select(
+        F.col("n_nationkey").alias("num"), F.col("n_name").alias("name"), F.col("n_regionkey").alias("region")
+    )
+
+
+def _snippet(spark: SparkSession, tag: str):
+    return by_tag(spark, tag, Script(SCRIPT))
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    return nation.select(F.col("n_nationkey").alias("num"), (F.col("n_nationkey") + 2).alias("num_plus_two"))
+    """A snippet's result over ``nation`` against an expectation that is wrong in one name: the cells that differ."""
+    numbers = _numbers(spark, sf_dir)
+    actual = _snippet(spark, "shifted").run({"numbers": numbers})
+    wrong = F.when(F.col("num") == 1, F.lit("ont")).otherwise(F.col("name"))
+    expected = numbers.select("num", (F.col("num") + 2).alias("num_plus_two"), wrong.alias("name"))
+    return compare_tables(actual, expected, sort_by=["num"]).cell_diffs()
+
+
+def snippet_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snippet(spark, "shifted").run({"numbers": _numbers(spark, sf_dir)})
+
+
+def snippet_distinct_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _snippet(spark, "regions_plus").run({"numbers": _numbers(spark, sf_dir)}, descend=True)
+
+
+def snippet_cte_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _read(spark, sf_dir, "customer").select(
+        F.col("c_nationkey").alias("num"), F.col("c_name").alias("name"), (F.col("c_nationkey") % 7).alias("region")
+    )
+    numbers = _numbers(spark, sf_dir)
+    regions = numbers.select("region").distinct().withColumn("region_plus_four", F.col("region") + 4)
+    return _snippet(spark, "main").run(
+        {
+            "c": customers,
+            "s": numbers.where("num < 20").withColumn("num_plus_two", F.col("num") + 2),
+            "t": numbers.where("num > 3").withColumn("num_plus_three", F.col("num") + 3),
+            "d": regions,
+        }
+    )
+
+
+def snippet_self_join_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = _numbers(spark, sf_dir)
+    return _snippet(spark, "pairs").run({"low": numbers.where("num < 12"), "high": numbers.where("num >= 8")})
+
+
+FIXTURE = FixtureData(
+    [(1, "one", 1.5), (5, "five", None), (5, "five??", -2.25), (17, None, 0.0)],
+    [FixtureColumn("num", SqlType.INT), FixtureColumn("name", SqlType.STRING), FixtureColumn("share", SqlType.FLOAT)],
+)
+
+
+def fixture_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return FIXTURE.to_df(spark)
+
+
+def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = [(tag, i, name) for tag in ("shifted", "main", "pairs") for i, name in enumerate(_snippet(spark, tag).source_aliases())]
+    return spark.createDataFrame(rows, "tag string, place int, alias string")
+
+
+#: Columns of an actual and an expected schema that show one promotion rule each.
+RULES = {
+    "same": (L.STRING, L.STRING),
+    "null_any": (L.NULL, L.integer(32)),
+    "int_widths": (L.integer(16), L.integer(64)),
+    "signs": (L.integer(32), L.integer(32, False)),
+    "float_widths": (L.floating(32), L.floating(64)),
+    "decimal_precision": (L.decimal(10, 2), L.decimal(18, 2)),
+    "decimal_scale": (L.decimal(18, 2), L.decimal(18, 3)),
+    "int_decimal": (L.integer(32), L.decimal(5, 0)),
+    "int_decimal_scale": (L.integer(32), L.decimal(10, 2)),
+    "text": (L.STRING, L.LARGE_STRING),
+    "time_units": (L.time("ms"), L.time("us")),
+    "time_stamps": (L.timestamp("ms"), L.timestamp("us")),
+    "zones": (L.timestamp("us", "Asia/Tokyo"), L.timestamp("us", "Europe/Paris")),
+    "zone_or_none": (L.timestamp("us"), L.timestamp("us", "UTC")),
+    "dates": (L.DATE32, L.DATE64),
+    "list": (L.list_of(L.integer(8)), L.list_of(L.integer(32), "large")),
+    "struct": (L.struct_of(("b", L.integer(16)), ("a", L.STRING)), L.struct_of(("a", L.STRING), ("b", L.integer(32)))),
+    "deep": (L.list_of(L.list_of(L.integer(8))), L.list_of(L.list_of(L.integer(16)))),
+    "int_float": (L.integer(64), L.floating(64)),
+    "missing": (None, L.BOOL),
+    "extra": (L.BOOL, None),
+}
+
+
+def schema_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = [Schema(tuple((n, pair[i]) for n, pair in RULES.items() if pair[i] is not None)) for i in (0, 1)]
+    rows = [(c.name, "ok" if c.ok else "fails", str(c.common) if c.common else None) for c in compare_schemas(*sides).columns]
+    return spark.createDataFrame(rows, "name string, verdict string, common string")
+
+
+def _cast(actual: DataFrame, expected: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    return cast_to_common(actual, expected, compare_schemas(actual.schema, expected.schema, policy))[0]
+
+
+def promote_int_decimal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    out = _cast(lines, lines.withColumn("l_linenumber", F.col("l_linenumber").cast("decimal(20,0)")))
+    kind = F.lit(out.schema["l_linenumber"].dataType.simpleString()).alias("kind")
+    return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), kind)
+
+
+def cast_reorder_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _read(spark, sf_dir, "customer")
+    actual = customers.select(
+        F.col("c_name").alias("C_NAME"), F.col("c_nationkey").cast("smallint").alias("C_NATIONKEY"), F.col("c_custkey").alias("C_CustKey")
+    )
+    return _cast(actual, customers.select("c_custkey", "c_nationkey", "c_name"))
+
+
+def cast_struct_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers = _read(spark, sf_dir, "customer")
+    actual = customers.select("c_custkey", F.struct("c_name", F.col("c_nationkey").cast("smallint").alias("n"), "c_acctbal").alias("s"))
+    expected = customers.select("c_custkey", F.struct(F.col("c_nationkey").cast("bigint").alias("n"), "c_name").alias("s"))
+    out = _cast(actual, expected, Policy(allow_extra_fields_in_structs=True))
+    return out.select("c_custkey", F.col("s.n").alias("n"), F.col("s.c_name").alias("name"))
+
+
+def extra_columns_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    supplier = _read(spark, sf_dir, "supplier")
+    return _cast(supplier, supplier.select("s_name", "s_suppkey"), Policy(allow_extra_columns_in_result=True))
+
+
+def _sorted(df: DataFrame, sort_by: list[str]) -> DataFrame:
+    keys = sort_keys(sort_by, Schema.of(df.schema), Policy())
+    return sorted_positions(df, keys, df.count()).withColumnRenamed(POSITION, "position")
+
+
+def sort_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted(_read(spark, sf_dir, "orders"), [])
+
+
+def sort_by_leads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sorted(_read(spark, sf_dir, "customer").drop("c_acctbal"), ["C_NATIONKEY", "c_mktsegment", "c_nationkey"])
+
+
+def given_order_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ordered = _read(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), "o_orderkey")
+    return given_positions(ordered, ordered.count()).withColumnRenamed(POSITION, "position")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    orders = _read(spark, sf_dir, "orders")
+    changed = F.when(F.col("o_orderkey") % 97 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice"))
+    return orders.withColumn("o_totalprice", changed), orders
+
+
+def row_count_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _read(spark, sf_dir, "orders")
+    found = compare_tables(orders.where("o_orderstatus <> 'F'"), orders).row_count
+    return spark.createDataFrame([(found.actual, found.expected)], "actual long, expected long")
+
+
+def row_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = compare_tables(*_orders(spark, sf_dir), sort_by=["o_orderkey"])
+    return found.diffs.select(F.col(POSITION).alias("position"), F.concat_ws(",", "columns").alias("columns"))
+
+
+def cell_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    actual, expected = _orders(spark, sf_dir)
+    status = F.when(F.col("o_orderkey") % 89 == 0, F.lit(None)).otherwise(F.col("o_orderstatus"))
+    cents = F.round(F.col("o_totalprice") * 100).cast("long")
+    sides = [df.select("o_orderkey", s.alias("o_orderstatus"), cents.alias("cents")) for df, s in ((actual, status), (expected, F.col("o_orderstatus")))]
+    found = compare_tables(*sides).cell_diffs()
+    return found.select(F.col("row").alias("position"), "column", F.coalesce("expected", F.lit("-")).alias("expected"), F.coalesce("actual", F.lit("-")).alias("actual"))
+
+
+def null_nan_equal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(nan: int, null: int) -> DataFrame:
+        value = F.when(F.col("event_id") % nan == 0, F.lit(float("nan"))).when(F.col("event_id") % null != 0, F.col("value"))
+        return _read(spark, sf_dir, "events").select("event_id", value.alias("value"))
+
+    found = compare_tables(side(10, 7), side(20, 7), sort_by=["event_id"])
+    return found.diffs.select(F.col(POSITION).alias("position"), F.concat_ws(",", "columns").alias("columns"))
+
+
+def nested_array_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    negated = F.transform("embedding", lambda x, i: F.when((i == 0) & (F.col("vec_id") % 11 == 0), -x - 1).otherwise(x))
+    found = compare_tables(vectors.withColumn("embedding", negated), vectors, sort_by=["vec_id"])
+    return found.diffs.select(F.col(POSITION).alias("position"), F.concat_ws(",", "columns").alias("columns"))
+
+
+def map_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def side(step: int) -> DataFrame:
+        size = F.when(F.col("p_partkey") % 13 == 0, F.col("p_size") + step).otherwise(F.col("p_size"))
+        return _read(spark, sf_dir, "part").select("p_partkey", F.create_map(F.lit("size"), size, F.lit("key"), F.lit(1)).alias("facts"))
+
+    found = compare_tables(side(1), side(0), sort_by=["p_partkey"])
+    return found.diffs.select(F.col(POSITION).alias("position"), F.concat_ws(",", "columns").alias("columns"))
+
+
+def top10_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return row_diffs(spark, sf_dir).orderBy("position").limit(10)
+
+
+def multiset_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _read(spark, sf_dir, "lineitem").drop("l_tax")
+    shuffled = lines.repartition(7, "l_suppkey")
+    changed = lines.withColumn("l_linenumber", F.when(F.col("l_orderkey") == 1, 9).otherwise(F.col("l_linenumber")))
+    rows = [(name, compare_tables(df, lines).ok) for name, df in (("shuffled", shuffled), ("changed", changed))]
+    return spark.createDataFrame(rows, "side string, same boolean")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    own = (
+        snippet_plus, snippet_distinct_derived, snippet_cte_left_join, snippet_self_join_aliases, fixture_values, source_list,
+        schema_report, promote_int_decimal, cast_reorder_rename, cast_struct_by_name, extra_columns_dropped, sort_positions,
+        sort_by_leads, given_order_positions, row_count_check, row_diffs, cell_diffs, null_nan_equal, nested_array_diffs,
+        map_diffs, top10_report, multiset_verdict,
+    )
+    return {f.__name__: f for f in own}
+
+
+_ROW_DIFFS = """
+WITH a AS (
+  SELECT o_orderkey, o_totalprice + CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END AS price,
+         row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders
+), e AS (SELECT o_totalprice AS price, row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders)
+SELECT position, 'o_totalprice' AS columns FROM a JOIN e USING (position) WHERE a.price IS DISTINCT FROM e.price
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "snippet_plus": "SELECT n_nationkey AS num, n_nationkey + 2 AS num_plus_two, n_name AS name FROM nation",
+        "snippet_distinct_derived": "SELECT region, region + 4 AS region_plus_four FROM (SELECT DISTINCT n_regionkey AS region FROM nation)",
+        "snippet_cte_left_join": """
+            WITH c AS (SELECT c_nationkey AS num, c_name AS name, c_nationkey % 7 AS region FROM customer),
+                 d AS (SELECT DISTINCT n_regionkey AS region FROM nation)
+            SELECT c.num, c.name, s.n_nationkey + 2 AS num_plus_two, t.n_nationkey + 3 AS num_plus_three, d.region + 4 AS region_plus_four
+            FROM c LEFT JOIN nation s ON c.num = s.n_nationkey AND s.n_nationkey < 20
+            LEFT JOIN nation t ON c.num = t.n_nationkey AND t.n_nationkey > 3 LEFT JOIN d ON c.region = d.region""",
+        "snippet_self_join_aliases": """
+            SELECT a.n_nationkey AS low_num, b.n_nationkey AS high_num, a.n_regionkey AS region FROM nation a JOIN nation b
+            ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey WHERE a.n_nationkey < 12 AND b.n_nationkey >= 8""",
+        "fixture_values": """
+            SELECT num::INTEGER AS num, name, share::DOUBLE AS share
+            FROM (VALUES (1, 'one', 1.5), (5, 'five', NULL), (5, 'five??', -2.25), (17, NULL, 0.0)) t(num, name, share)""",
+        "source_list": """
+            SELECT tag, place::INTEGER AS place, alias FROM (VALUES ('shifted', 0, 'numbers'), ('main', 0, 'c'), ('main', 1, 's'),
+            ('main', 2, 't'), ('main', 3, 'd'), ('pairs', 0, 'low'), ('pairs', 1, 'high')) t(tag, place, alias)""",
+        "schema_report": """
+            SELECT * FROM (VALUES ('same', 'ok', 'string'), ('null_any', 'ok', 'int32'), ('int_widths', 'ok', 'int64'),
+            ('signs', 'fails', NULL), ('float_widths', 'ok', 'float64'), ('decimal_precision', 'ok', 'decimal(18, 2)'),
+            ('decimal_scale', 'fails', NULL), ('int_decimal', 'ok', 'decimal(10, 0)'), ('int_decimal_scale', 'fails', NULL),
+            ('text', 'ok', 'large_string'), ('time_units', 'ok', 'time[us]'), ('time_stamps', 'ok', 'timestamp[us]'),
+            ('zones', 'ok', 'timestamp[us, tz=UTC]'), ('zone_or_none', 'fails', NULL), ('dates', 'fails', NULL),
+            ('list', 'ok', 'large_list<int32>'), ('struct', 'ok', 'struct<a: string, b: int32>'), ('deep', 'fails', NULL),
+            ('int_float', 'fails', NULL), ('missing', 'fails', NULL), ('extra', 'fails', NULL)) t(name, verdict, common)""",
+        "promote_int_decimal": "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, 'decimal(20,0)' AS kind FROM lineitem",
+        "cast_reorder_rename": "SELECT c_custkey, c_nationkey, c_name FROM customer",
+        "cast_struct_by_name": "SELECT c_custkey, c_nationkey::BIGINT AS n, c_name AS name FROM customer",
+        "extra_columns_dropped": "SELECT s_name, s_suppkey FROM supplier",
+        "sort_positions": """
+            SELECT *, row_number() OVER (ORDER BY o_orderkey NULLS LAST, o_custkey NULLS LAST, o_orderstatus NULLS LAST,
+            o_totalprice NULLS LAST, o_orderdate NULLS LAST, o_orderpriority NULLS LAST) - 1 AS position FROM orders""",
+        "sort_by_leads": """
+            SELECT c_custkey, c_name, c_nationkey, c_mktsegment, row_number() OVER (ORDER BY c_nationkey NULLS LAST,
+            c_mktsegment NULLS LAST, c_custkey NULLS LAST, c_name NULLS LAST) - 1 AS position FROM customer""",
+        "given_order_positions": """
+            SELECT o_orderkey, o_orderdate, row_number() OVER (ORDER BY o_orderdate DESC, o_orderkey) - 1 AS position FROM orders""",
+        "row_count_check": "SELECT count(*) FILTER (o_orderstatus <> 'F') AS actual, count(*) AS expected FROM orders",
+        "row_diffs": _ROW_DIFFS,
+        "cell_diffs": """
+            WITH b AS (
+              SELECT o_orderkey AS k, o_orderstatus AS es, CASE WHEN o_orderkey % 89 = 0 THEN NULL ELSE o_orderstatus END AS s,
+                     round(o_totalprice * 100)::BIGINT AS ec,
+                     round((o_totalprice + CASE WHEN o_orderkey % 97 = 0 THEN 1 ELSE 0 END) * 100)::BIGINT AS c,
+                     row_number() OVER (ORDER BY o_orderkey) - 1 AS position FROM orders
+            )
+            SELECT position, 'o_orderstatus' AS "column", es AS expected, coalesce(s, '-') AS actual FROM b WHERE es IS DISTINCT FROM s
+            UNION ALL
+            SELECT position, 'cents', ec::VARCHAR, c::VARCHAR FROM b WHERE ec IS DISTINCT FROM c""",
+        "null_nan_equal": """
+            WITH b AS (
+              SELECT row_number() OVER (ORDER BY event_id) - 1 AS position,
+                     CASE WHEN event_id % 10 = 0 THEN 'nan'::DOUBLE WHEN event_id % 7 <> 0 THEN value END AS a,
+                     CASE WHEN event_id % 20 = 0 THEN 'nan'::DOUBLE WHEN event_id % 7 <> 0 THEN value END AS e FROM events
+            )
+            SELECT position, 'value' AS columns FROM b WHERE a IS DISTINCT FROM e""",
+        "nested_array_diffs": """
+            SELECT position, 'embedding' AS columns FROM (
+              SELECT vec_id, embedding, row_number() OVER (ORDER BY vec_id) - 1 AS position FROM embeddings
+            ) WHERE vec_id % 11 = 0 AND (-embedding[1] - 1) IS DISTINCT FROM embedding[1]""",
+        "map_diffs": """
+            SELECT position, 'facts' AS columns FROM (SELECT p_partkey, p_size, row_number() OVER (ORDER BY p_partkey) - 1 AS position FROM part)
+            WHERE p_partkey % 13 = 0""",
+        "top10_report": f"SELECT * FROM ({_ROW_DIFFS}) ORDER BY position LIMIT 10",
+        "multiset_verdict": """
+            WITH c AS (SELECT * REPLACE (CASE WHEN l_orderkey = 1 THEN 9 ELSE l_linenumber END AS l_linenumber) FROM lineitem)
+            SELECT 'shuffled' AS side, count(*) = 0 AS same FROM (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM lineitem)
+            UNION ALL
+            SELECT 'changed', count(*) = 0 FROM (
+              (SELECT * FROM c EXCEPT ALL SELECT * FROM lineitem) UNION ALL (SELECT * FROM lineitem EXCEPT ALL SELECT * FROM c))""",
+    }
