@@ -10,6 +10,9 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
+_SUBQUERIES = {"ScalarSubquery", "ListQuery", "Exists", "LateralSubquery", "FunctionTableSubqueryArgumentExpression"}
+
+
 class ParseFailure(Exception):
     """The parser's message for a text that is no query."""
 
@@ -74,7 +77,7 @@ def relations(plan: Any) -> set[str]:
     while plans or expressions:
         if expressions:
             e = expressions.pop()
-            if callable(getattr(e, "plan", None)) and "Subquery" in _name(e) or _name(e) in ("Exists", "ListQuery"):
+            if _name(e) in _SUBQUERIES:
                 plans.append(e.plan())
             expressions += _items(e.children())
             continue
