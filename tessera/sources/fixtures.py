@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 from enum import Enum
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -138,6 +139,14 @@ class FixtureData:
             self._made[key] = spark.createDataFrame(rows, self.schema())
         return self._made[key]
 
+    def to_arrow(self) -> pa.Table:
+        """The rows as an Arrow table of the declared types; needs no session."""
+        rows = list(self.data)
+        if bad := next((r for r in rows if len(r) != len(self.columns)), None):
+            raise ValueError(f"row {bad!r} has {len(bad)} values for {len(self.columns)} columns")
+        arrays = [pa.array([r[i] for r in rows], L.to_arrow(c.type)) for i, c in enumerate(self.columns)]
+        return pa.table(arrays, names=[c.name for c in self.columns])
+
 
 @dataclass(frozen=True)
 class SourceFixture:

@@ -162,6 +162,36 @@ def from_arrow(t: pa.DataType) -> Kind:
     raise TypeError(f"columns of type {t} cannot be held")
 
 
+def to_arrow(k: Kind) -> pa.DataType:
+    """The Arrow type that a logical type stands for."""
+    if k.name in ("int", "uint"):
+        return getattr(pa, f"{k.name}{k.bits}")()
+    if k.name == "float":
+        return getattr(pa, f"float{k.bits}")()
+    if k.name in ("decimal", "decimal256"):
+        return (pa.decimal128 if k.name == "decimal" else pa.decimal256)(k.precision, k.scale)
+    if k.name in ("string", "binary"):
+        form = {"": k.name, "large": f"large_{k.name}", "view": f"{k.name}_view"}[k.form]
+        return getattr(pa, form)()
+    if k.name == "time":
+        return (pa.time32 if k.unit in ("s", "ms") else pa.time64)(k.unit)
+    if k.name == "timestamp":
+        return pa.timestamp(k.unit, k.zone)
+    if k.name in ("list", "fixed_list"):
+        element = pa.field("item", to_arrow(k.child(0)), k.children[0][2])
+        if k.name == "fixed_list":
+            return pa.list_(element, k.bits)
+        return {"": pa.list_, "large": pa.large_list, "view": pa.list_view, "large_view": pa.large_list_view}[k.form](element)
+    if k.name == "map":
+        return pa.map_(to_arrow(k.child(0)), pa.field("value", to_arrow(k.child(1)), k.children[1][2]))
+    if k.name == "struct":
+        return pa.struct([pa.field(n, to_arrow(c), null) for n, c, null in k.children])
+    if k.name == "fixed_binary":
+        return pa.binary(k.bits)
+    plain = {"null": pa.null(), "bool": pa.bool_(), "duration": pa.duration(k.unit or "us"), "interval": pa.month_day_nano_interval()}
+    return plain[k.name] if k.name in plain else {"32": pa.date32(), "64": pa.date64()}[k.form]
+
+
 _SPARK_LEAVES: list[tuple[type, Kind]] = [
     (T.NullType, NULL), (T.BooleanType, BOOL), (T.ByteType, integer(8)), (T.ShortType, integer(16)), (T.IntegerType, integer(32)),
     (T.LongType, integer(64)), (T.FloatType, floating(32)), (T.DoubleType, floating(64)), (T.StringType, STRING),
@@ -182,7 +212,37 @@ def from_spark(t: T.DataType) -> Kind:
         return map_of(from_spark(t.keyType), from_spark(t.valueType), t.valueContainsNull)
     if isinstance(t, T.StructType):
         return struct_of(*((f.name, from_spark(f.dataType), f.nullable) for f in t.fields))
-    for kind, logical in _SPARK_LEAVES:
+    for kind, logical in def to_arrow(k: Kind) -> pa.DataType:
+    """The Arrow type that a logical type stands for."""
+    if k.name in ("int", "uint"):
+        return getattr(pa, f"{k.name}{k.bits}")()
+    if k.name == "float":
+        return getattr(pa, f"float{k.bits}")()
+    if k.name in ("decimal", "decimal256"):
+        return (pa.decimal128 if k.name == "decimal" else pa.decimal256)(k.precision, k.scale)
+    if k.name in ("string", "binary"):
+        form = {"": k.name, "large": f"large_{k.name}", "view": f"{k.name}_view"}[k.form]
+        return getattr(pa, form)()
+    if k.name == "time":
+        return (pa.time32 if k.unit in ("s", "ms") else pa.time64)(k.unit)
+    if k.name == "timestamp":
+        return pa.timestamp(k.unit, k.zone)
+    if k.name in ("list", "fixed_list"):
+        element = pa.field("item", to_arrow(k.child(0)), k.children[0][2])
+        if k.name == "fixed_list":
+            return pa.list_(element, k.bits)
+        return {"": pa.list_, "large": pa.large_list, "view": pa.list_view, "large_view": pa.large_list_view}[k.form](element)
+    if k.name == "map":
+        return pa.map_(to_arrow(k.child(0)), pa.field("value", to_arrow(k.child(1)), k.children[1][2]))
+    if k.name == "struct":
+        return pa.struct([pa.field(n, to_arrow(c), null) for n, c, null in k.children])
+    if k.name == "fixed_binary":
+        return pa.binary(k.bits)
+    plain = {"null": pa.null(), "bool": pa.bool_(), "duration": pa.duration(k.unit or "us"), "interval": pa.month_day_nano_interval()}
+    return plain[k.name] if k.name in plain else {"32": pa.date32(), "64": pa.date64()}[k.form]
+
+
+_SPARK_LEAVES:
         if isinstance(t, kind):
             return logical
     raise TypeError(f"columns of type {t.simpleString()} cannot be held")

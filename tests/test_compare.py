@@ -23,6 +23,9 @@ def table(columns, *rows):
 AB = [("a", INT), ("b", STR)]
 
 
+AB_DATA = table(AB, (1, "x"), (None, "y"))
+
+
 def diffs(*args, **kwargs):
     return [(d.row, d.columns) for d in t.compare_tables(*args, **kwargs).row_diffs]
 
@@ -149,6 +152,7 @@ def test_fixture_types(spark):
     data = t.FixtureData([tuple(values[k.name] for k in kinds), (None,) * len(kinds)], [t.FixtureColumn(k.name, k) for k in kinds])
     df = data.to_df(spark)
     assert df.count() == 2 and data.to_df(spark) is df
+    assert t.compare_tables(AB_DATA.to_arrow(), AB_DATA).ok and AB_DATA.to_arrow().schema == pa.schema([("a", pa.int32()), ("b", pa.string())])
     assert t.compare_tables(df, data).ok and t.FixtureColumn("a", pa.int32()) == t.FixtureColumn("a", INT)
     assert dict(df.dtypes)["TIMESTAMP_NTZ9"] == "bigint" and dict(df.dtypes)["TIMESTAMP_NTZ6"] == "timestamp_ntz"
     for value, kind in ((1.5, INT), (2**40, INT), (True, INT), ("1", FLOAT), (1.55, t.SqlType.DECIMAL1), (1, STR)):

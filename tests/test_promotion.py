@@ -125,6 +125,7 @@ def test_arrow_types_are_read_and_kept_in_metadata():
     ):
         k = L.from_arrow(t)
         assert L.kind_of(L.field_of("c", k)) == L.Kind.from_json(k.to_json()) == k
+        assert L.to_arrow(k) == t
     with pytest.raises(TypeError):
         L.from_arrow(pa.dictionary(pa.int8(), pa.string()))
     assert not L.sortable(L.list_of(I8)) and L.sortable(L.struct_of(("a", I8))) and not L.sortable(L.struct_of(("a", L.map_of(I8, I8))))
