@@ -6,11 +6,18 @@
 4. mixing: documents are taken as often as systematic sampling to the sources' targets takes them;
 5. packing: what is left is packed into token sequences.
 
-All stages but the last return the columns of ``documents``. Rows that a stage takes twice are packed twice.
+All stages but the last return the columns of their input, whatever further columns are called. Rows that a stage takes
+twice are packed twice.
+
+Defined cases: null texts count as empty and pass the first stage as an empty document does; of rows without an id, one
+of each group stays; an empty input gives an empty output; a null source is a source of its own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,12 +28,30 @@ from tessera.llm.common import Scratch
 ORACLE_SQL = None
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+CORE = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def filtering(stage: Stage) -> Stage:
+    """A stage that returns its input's columns; those it does not know are out of its operator's way meanwhile."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        aside = {n: n if n in CORE else f"__aside_{i}" for i, n in enumerate(docs.columns)}
+        out = stage(spark, docs.toDF(*aside.values()), sf_dir)
+        return out.select(*[F.col(k).alias(n) for n, k in aside.items()])
+
+    return run_stage
+
+
+@filtering
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = toxicity.learnable(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     model = toxicity.fit(docs, labels)
-    return toxicity.score(docs, model).where(~F.col("toxic_rejected")).select(*docs.columns)
+    return toxicity.score(docs, model).where(~F.col("toxic_rejected"))
 
 
+@filtering
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share the kept id are told apart by a hash of the text, the smallest of which stays."""
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
@@ -39,17 +64,19 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
         kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__text_key"] == kept["__key"]), "left_semi"
     )
     # Repeated rows have the same id and text.
-    return chosen.dropDuplicates(["doc_id", "__text_key"]).select(*docs.columns)
+    return chosen.dropDuplicates(["doc_id", "__text_key"])
 
 
+@filtering
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = secrets.redact(secrets.scan(docs))
     length = F.when(F.size("secrets") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return cleaned.withColumn("n_chars", length).select(*docs.columns)
+    return cleaned.withColumn("n_chars", length)
 
 
+@filtering
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.emit(mixing.mix(docs)).select(*docs.columns)
+    return mixing.emit(mixing.mix(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

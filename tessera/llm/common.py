@@ -36,13 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_scratches: list[Scratch] = []
+
+
 class Scratch:
-    """Tables written to the shared folder, so that a lost executor costs a reread and not the lineage."""
+    """Tables written to the shared folder, so that a lost executor costs a reread and not the lineage.
+
+    Results are lazy and may read them, so they stay until ``clear`` or ``clear_all``.
+    """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
         self.count = 0
+        _scratches.append(self)
 
     def write(self, df: DataFrame, **options: str) -> DataFrame:
         path = self.path()
@@ -66,6 +73,12 @@ class Scratch:
         hadoop.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def clear_all() -> None:
+    """Delete all that this driver wrote to the shared folder; for when the results have been written elsewhere."""
+    while _scratches:
+        _scratches.pop().clear()
+
+
 def id_text(doc_id: str = "doc_id"):
     """The id as text; null ids count as the empty text."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

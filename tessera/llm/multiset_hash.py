@@ -129,7 +129,7 @@ def _ranges(ids: DataFrame, rows_per_range: int, most: int) -> list:
     return sorted({x for x in found or [] if x is not None})
 
 
-def with_next(documents: DataFrame, carried: list[str], rows_per_range: int = 1000, most_ranges: int = 2048) -> DataFrame:
+def with_next(documents: DataFrame, carried: list[str], rows_per_range: int = 1000, most_ranges: int = 65536) -> DataFrame:
     """The rows with next_<name> of each carried column, from the row after in the order of (doc_id, text)."""
     cuts = _ranges(documents.select("doc_id"), rows_per_range, most_ranges)
     kind = documents.schema["doc_id"].dataType

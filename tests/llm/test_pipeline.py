@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 
 
@@ -47,3 +49,25 @@ def test_stages_take_effect(spark, tmp_path):
     assert mixed.count() > 0 and packed.select("doc_id").distinct().count() == mixed.select("doc_id").distinct().count()
     assert packed.count() == mixed.count() and rows
     assert pipeline.run(spark, str(tmp_path)).columns == packed.columns
+
+
+def test_stages_on_odd_rows_and_none(spark, tmp_path, small_docs, no_docs):
+    _input(spark, tmp_path)
+    clashing = small_docs.withColumnRenamed("size", "secrets").withColumns(
+        {n: F.col("secrets") for n in ("toxicity", "size", "copies", "fingerprint", "component")}
+    )
+    empty = clashing.limit(0)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, clashing, str(tmp_path))
+        rows = out.collect()
+        assert stage(spark, empty, str(tmp_path)).count() == 0
+        if name == "packing":
+            assert len({(r.doc_id, r.piece) for r in rows}) >= 6
+            continue
+        assert out.dtypes == clashing.dtypes and rows
+        own = {(r.doc_id, r.secrets) for r in clashing.collect()}
+        assert {(r.doc_id, r.secrets) for r in rows} <= own
+        if name in ("toxicity", "secrets"):
+            assert len(rows) == clashing.count()
+        if name == "near_duplicates":
+            assert [r.doc_id for r in rows].count(1) == 1
