@@ -21,6 +21,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -99,17 +100,15 @@ class Tokens:
     """A block's tokens: hashes of words and ends, each document's bounds, and the keys of its n-grams."""
 
     def __init__(self, texts: list[bytes]) -> None:
-        parts, lengths = [], []
-        for t in texts:
-            own = t.lower().split()
-            lengths.append(len(own) + 1)
-            parts.append(np.fromiter(map(_words.__getitem__, own), np.uint64, len(own)))
-            parts.append(np.array([END]))
-        self.length = np.array(lengths, np.int64)
+        words = [t.lower().split() for t in texts]
+        self.length = np.array([len(own) + 1 for own in words], np.int64)
         self.end = self.length.cumsum()
         self.begin = self.end - self.length
         with np.errstate(over="ignore"):
-            self.one = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+            self.one = np.full(int(self.length.sum()), END)
+            inside = np.ones(len(self.one), bool)
+            inside[self.end - 1] = False
+            self.one[inside] = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64)
             before, early = np.empty_like(self.one), np.empty_like(self.one)
             before[1:], early[2:] = self.one[:-1], self.one[:-2]
             before[self.begin] = early[self.begin] = START
@@ -129,10 +128,30 @@ def _ranges(keys: np.ndarray, bits: int, count: int) -> list[int]:
     return [0, *np.searchsorted(keys, np.array(edges, np.uint64)).tolist(), len(keys)]
 
 
+def _firsts(ordered: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins in a sorted array."""
+    return np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+
+
 def _counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct keys, sorted, and how many of each are in training documents."""
-    distinct, learnt = np.unique(keys), np.sort(keys[train])
-    return distinct, np.searchsorted(learnt, distinct, "right") - np.searchsorted(learnt, distinct, "left")
+    ordered, learnt = np.sort(keys), np.sort(keys[train])
+    distinct = ordered[_firsts(ordered)]
+    counts = np.zeros(len(distinct), np.int64)
+    first = _firsts(learnt)
+    counts[np.searchsorted(distinct, learnt[first])] = np.diff(first, append=len(learnt))
+    return distinct, counts
+
+
+def _spread(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """At every key the value of its place among the distinct keys in order."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    rank = np.zeros(len(keys), np.int64)
+    rank[1:] = (ordered[1:] != ordered[:-1]).cumsum()
+    out = np.empty(len(keys), float)
+    out[order] = values[rank]
+    return out
 
 
 def blocks(documents: DataFrame, config: Config) -> DataFrame:
@@ -228,10 +247,10 @@ def answers(asked: DataFrame, longer: int) -> DataFrame:
         counts = [unpack(b) for b in table.column("counts").to_pylist()]
         learnt = [k[c > 0] for k, c in zip(keys, counts)]
         own = np.concatenate(learnt)
-        order = np.argsort(own, kind="stable")
+        order = np.argsort(own)
         weight = np.concatenate([c[c > 0] for c in counts])[order]
         own = own[order]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        first = _firsts(own)
         distinct = own[first]
         total = np.add.reduceat(weight, first) if len(own) else np.zeros(0, np.uint64)
         replies = []
@@ -255,12 +274,9 @@ def _gathered(row: dict, replies: pa.Table, longer: int) -> tuple[Tokens, np.nda
     order = np.argsort(ranges, kind="stable")
     many = [unpack(blobs[i]) for i in order if ranges[i] < longer]
     few = [unpack(blobs[i]) for i in order if ranges[i] >= longer]
-    distinct, one = np.unique(tokens.one), np.concatenate(few)
-    c1 = one[np.searchsorted(distinct, tokens.one)].astype(float)
-    distinct, more = np.unique(np.concatenate([tokens.two, tokens.three])), np.concatenate(many)
-    c2 = more[np.searchsorted(distinct, tokens.two)].astype(float)
-    c3 = more[np.searchsorted(distinct, tokens.three)].astype(float)
-    return tokens, folds, [c1, c2, c3]
+    n = len(tokens.one)
+    longer_counts = _spread(np.concatenate([tokens.two, tokens.three]), np.concatenate(many))
+    return tokens, folds, [_spread(tokens.one, np.concatenate(few)), longer_counts[:n], longer_counts[n:]]
 
 
 @dataclass(frozen=True)
