@@ -18,11 +18,11 @@ table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import Scratch
+
 SPLIT = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -74,31 +74,33 @@ def frequencies(texts: DataFrame) -> dict[str, int]:
 
 
 def blocks(text: Column, window: int = WINDOW) -> Column:
-    """Word arrays of a text's lines; long lines give windows that overlap by half."""
+    """(line, words) of a text's lines; long lines give windows that overlap by half."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), words)
     step = window // 2
 
-    def cut(line: Column) -> Column:
+    def cut(line: Column, number: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(line) - step), F.lit(step))
-        return F.transform(starts, lambda s: F.slice(line, s, window))
+        return F.transform(starts, lambda s: F.struct(number.alias("line"), F.slice(line, s, window).alias("words")))
 
     return F.flatten(F.transform(F.filter(lines, lambda x: F.size(x) > 0), cut))
 
 
 def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
-    """(key, label, containment) of every text block and template that meet the threshold; ``keyed`` has key and text.
+    """(key, line, template, containment) of every line and template of which a text block meets the threshold.
+
+    ``keyed`` has key, text and the text's words.
 
     ``ranks`` has the place of each template word in the global order, rare words first.
     """
     spark = keyed.sparkSession
     entries, whole = [], []
-    for n, (label, own) in enumerate(_templates()):
+    for n, (_, own) in enumerate(_templates()):
         ordered = sorted(ranks[w] for w in own)
         need = -int(-threshold * len(ordered) // 1)
         whole.append(ordered)
         for at, rank in enumerate(ordered[: len(ordered) - need + 1]):
-            entries.append((rank, n, at, len(ordered), need, label))
-    prefix = spark.createDataFrame(entries, "rank int, template int, at int, size int, need int, label string")
+            entries.append((rank, n, at, len(ordered), need))
+    prefix = spark.createDataFrame(entries, "rank int, template int, at int, size int, need int")
     least = min(e[4] for e in entries)
     starting = sorted({e[0] for e in entries})
     starting_words = sorted(w for w, r in ranks.items() if r in set(starting))
@@ -110,27 +112,46 @@ def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD)
         return F.array_sort(F.array_distinct(F.transform(own, lambda w: F.element_at(rank_of, w))))
 
     # A word of some prefix must be in the text before its blocks are looked at, and in the block before it is joined.
-    may = F.translate(F.col("text"), UPPER, LOWER).rlike("|".join(re.escape(w) for w in _longest(starting_words)))
+    start_set = F.array(*[F.lit(w) for w in starting_words])
+    may = F.arrays_overlap("words", start_set)
     own_blocks = keyed.where(may).select("key", F.explode(blocks(F.col("text"))).alias("block"))
-    ranked = own_blocks.where(F.arrays_overlap("block", F.array(*[F.lit(w) for w in starting_words]))).select(
-        "key", known(F.col("block")).alias("ranks")
+    ranked = own_blocks.where(F.arrays_overlap("block.words", start_set)).select(
+        "key", "block.line", known(F.col("block.words")).alias("ranks")
     )
     enough = ranked.where(F.size("ranks") >= least)
-    probes = enough.select("key", "ranks", F.posexplode("ranks").alias("pos", "rank"))
+    probes = enough.select("key", "line", "ranks", F.posexplode("ranks").alias("pos", "rank"))
     left = F.least(F.col("size") - F.col("at"), F.size("ranks") - F.col("pos"))  # the common word and those after it
     held = F.size(F.array_intersect("ranks", F.element_at(sets, F.col("template") + 1)))
     met = (
         probes.join(F.broadcast(prefix), "rank")  # as many rows as the templates' prefixes have words
         .where((F.size("ranks") >= F.col("need")) & (F.col("at") + left >= F.col("need")))
-        .select("key", "label", "need", (held / F.col("size")).alias("containment"), held.alias("held"))
+        .select("key", "line", "template", "need", (held / F.col("size")).alias("containment"), held.alias("held"))
         .where("held >= need")
     )
-    return met.groupBy("key", "label").agg(F.max("containment").alias("containment"))
+    return met.groupBy("key", "line", "template").agg(F.max("containment").alias("containment"))
+
 
+def best(met: DataFrame) -> DataFrame:
+    """(key, labels, score): of the templates that meet the threshold in a line, those that it holds most of.
 
-def _longest(parts: list[str]) -> list[str]:
-    """Without those that contain another one."""
-    return [w for w in parts if not any(v != w and v in w for v in parts)]
+    A template that is part of another such one does not count beside it.
+    """
+    sets = [own for _, own in _templates()]
+    above = F.array(*[
+        F.array(*[F.lit(j) for j, other in enumerate(sets) if own < other]).cast("array<int>") for own in sets
+    ])
+    labels = F.array(*[F.lit(label) for label, _ in _templates()])
+    lines = met.groupBy("key", "line").agg(
+        F.max("containment").alias("most"), F.collect_list(F.struct("template", "containment")).alias("all")
+    )  # no more than the templates
+    top = F.transform(F.filter("all", lambda x: x["containment"] == F.col("most")), lambda x: x["template"])
+    kept = lines.withColumn("top", top).select(
+        "key",
+        "most",
+        F.filter("top", lambda t: ~F.arrays_overlap(F.element_at(above, t + 1), F.col("top"))).alias("own"),
+    )
+    named = kept.select("key", "most", F.explode(F.transform("own", lambda t: F.element_at(labels, t + 1))).alias("label"))
+    return named.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("most").alias("score"))
 
 
 def places(own: Column, phrase: str) -> Column:
@@ -156,8 +177,8 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = frequencies(texts)
     ranks = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
     digest = F.md5("text")
-    found = join(documents.select(F.coalesce("text", F.lit("")).alias("text")).withColumn("key", digest), ranks, threshold)
-    found = found.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("containment").alias("score"))
+    found = join(texts.select(digest.alias("key"), "text", "words"), ranks, threshold)
+    found = best(found)
     based = (
         texts.withColumn("at", F.struct(*[places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)]))
         .select(
@@ -170,7 +191,9 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             ).alias("base"),
         )
     )
-    joined = based.join(found, "key", "left")
+    # Written first, so that the join deals both sides itself and can split the rows of a text that is very common.
+    found = Scratch(documents.sparkSession, "licenses").write(found)
+    joined = based.join(found.hint("shuffle_hash"), "key", "left")
     return joined.select(
         "doc_id",
         "n_words",
@@ -186,3 +209,56 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.withColumns({n: F.concat_ws(",", n) for n in ("base_labels", "labels")})
+
+
+def op10_sql(threshold: float = THRESHOLD, window: int = WINDOW) -> str:
+    """The same by DuckDB, every block against every template."""
+
+    def text(words) -> str:
+        return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+    rows = ", ".join(
+        f"({n}, '{label}', {text(sorted(own))}, {-int(-threshold * len(own) // 1)})" for n, (label, own) in enumerate(_templates())
+    )
+
+    def tests(phrase: str) -> str:
+        return " AND ".join(f"ws[i + {k + 1}] = '{w}'" for k, w in enumerate(phrase.split()))
+
+    found = ", ".join(
+        f"list_filter(range(greatest(0, len(ws) - {len(p.split()) - 1})), lambda i: {tests(p)}) AS p{n}" for n, p in enumerate(PHRASES)
+    )
+    every = " || ".join(f"p{n}" for n in range(len(PHRASES)))
+    base = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, label in enumerate(PHRASES.values()))
+    pattern = "[^" + SPLIT[1:]
+    return f"""
+    WITH t(n, label, own, need) AS (VALUES {rows}),
+    d AS (
+        SELECT row_number() OVER () AS id, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS low FROM documents
+    ), w AS (
+        SELECT id, doc_id, low, regexp_extract_all(low, '{pattern}') AS ws FROM d
+    ), b AS (
+        SELECT id, doc_id, len(ws) AS n_words, {found} FROM w
+    ), lines AS (
+        SELECT id, unnest(string_split(low, chr(10))) AS line, generate_subscripts(string_split(low, chr(10)), 1) AS number FROM w
+    ), cut AS (
+        SELECT id, number, regexp_extract_all(line, '{pattern}') AS ws FROM lines
+    ), blocks AS (
+        SELECT id, number, ws, unnest(range(0, greatest(1, len(ws) - {window // 2}), {window // 2})) AS s FROM cut WHERE len(ws) > 0
+    ), met AS (
+        SELECT id, number, n, label, own, max(len(list_intersect(list_distinct(ws[s + 1:s + {window}]), own)) / len(own)) AS share
+        FROM blocks, t WHERE len(list_intersect(list_distinct(ws[s + 1:s + {window}]), own)) >= need GROUP BY ALL
+    ), top AS (
+        SELECT * FROM met QUALIFY share = max(share) OVER (PARTITION BY id, number)
+    ), kept AS (
+        SELECT * FROM top a WHERE NOT EXISTS (
+            SELECT 1 FROM top b WHERE a.id = b.id AND a.number = b.number AND len(b.own) > len(a.own) AND list_has_all(b.own, a.own))
+    ), more AS (
+        SELECT id, list(DISTINCT label) AS labels, max(share) AS score FROM kept GROUP BY id
+    )
+    SELECT doc_id, n_words::BIGINT AS n_words, len({every})::BIGINT AS n_base, list_min({every})::BIGINT AS first_word,
+           list_max({every})::BIGINT AS last_word,
+           array_to_string(list_sort(list_filter([{base}], lambda x: x IS NOT NULL)), ',') AS base_labels,
+           array_to_string(list_sort(list_distinct(list_filter([{base}], lambda x: x IS NOT NULL) || coalesce(labels, []))), ',') AS labels,
+           greatest(coalesce(score, 0.0), CASE WHEN len({every}) > 0 THEN 1.0 ELSE 0.0 END)::DOUBLE AS score
+    FROM b LEFT JOIN more USING (id)
+    """
