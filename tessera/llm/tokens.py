@@ -8,11 +8,15 @@ punctuation apart, and remembered; a text's ids are the runs' ids one after the
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
 SPACE = b" \t\n\r\x0b\x0c"
 CLOSING = b".,!?;:"
+#: Lower-case letters of the Latin-1 supplement that are composed already and stay what they are.
+LATIN = "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
+_PLAIN = re.compile(f"[a-z{LATIN}]+").fullmatch
 _loaded: dict[str, RunTokens] = {}
 
 
@@ -35,8 +39,13 @@ class RunTokens(dict):
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # Words of plain lower-case letters need no normalising and no cutting: the model alone encodes them.
+        self.model = Tokenizer(self.tokenizer.model)
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {ord(c): spelled.pre_tokenize_str(c)[0][0] for c in LATIN}
 
     def __missing__(self, run: bytes) -> bytes:
         if len(self) >= self.most:
@@ -45,8 +54,13 @@ class RunTokens(dict):
         if core and len(core) < len(run) and _ends_in_letter(core):
             out = self[core] + self[run[len(core) :]]
         else:
-            ids = self.tokenizer.encode(run.decode("utf-8", "replace"), add_special_tokens=False).ids
-            out = np.array(ids, "<u4").tobytes()
+            text = run.decode("utf-8", "replace")
+            lowered = text if run.isascii() else text.lower()
+            if _PLAIN(lowered):
+                found = self.model.encode(lowered.translate(self.spelling), add_special_tokens=False)
+            else:
+                found = self.tokenizer.encode(text, add_special_tokens=False)
+            out = np.array(found.ids, "<u4").tobytes()
         self[run] = out
         return out
 
