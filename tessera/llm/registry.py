@@ -27,4 +27,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_mixing": mixing.OP7_SQL}
+    return {"op7_mixing": mixing.OP7_SQL, "op9_secrets": secrets.op9_sql(), "op10_licenses": licenses.op10_sql()}

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import trigrams
+from tessera.llm.common import Scratch
 
 
 @dataclass(frozen=True)
@@ -123,8 +124,9 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows = base.withColumn("__key", F.xxhash64(text))
     queries = {r.kind: trigrams.query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
-    found = candidates(rows.select("__key", text.alias("__text")), indexed) if indexed else None
-    if found is not None:
+    if indexed:
+        # Written first, so that the join deals both sides itself and can split the rows of a text that is very common.
+        found = Scratch(base.sparkSession, "secrets").write(candidates(rows.select("__key", text.alias("__text")), indexed))
         rows = rows.join(found.hint("shuffle_hash"), "__key", "left")
     none = F.array().cast(SPAN)
     each = []
@@ -174,3 +176,37 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(as_text(base), 256).alias("base_sha256"),
         as_text(F.col("secrets")).alias("spans"),
     )
+
+
+def op9_sql() -> str:
+    """The same spans by DuckDB: offsets from the lengths of matches and of what lies between."""
+
+    def lit(p: str) -> str:
+        return "'" + p.replace("'", "''") + "'"
+
+    parts = []
+    for rank, r in enumerate(RULES):
+        p = lit(r.pattern)
+        parts.append(f"""SELECT id, {rank} AS rank, '{r.kind}' AS kind, {r.least} AS least,
+               list_transform(regexp_extract_all(t, {p}), lambda x: length(x)) AS m,
+               list_transform(string_split_regex(t, {p}), lambda x: length(x)) AS g,
+               list_transform(regexp_extract_all(t, {p}, {r.group}), lambda x: length(x)) AS s
+        FROM d WHERE regexp_matches(t, {p})""")
+    rules = "\n        UNION ALL\n        ".join(parts)
+    base = len(BASE)
+    counts = ", ".join(f"count(kind) FILTER (kind = '{r.kind}') AS n_{r.kind}" for r in BASE)
+    return f"""
+    WITH d AS (
+        SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents
+    ), found AS (
+        {rules}
+    ), numbered AS (
+        SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found
+    ), spans AS (
+        SELECT id, rank, kind, (list_sum(g[1:i]) + coalesce(list_sum(m[1:i - 1]), 0))::BIGINT AS a, m[i] AS size FROM numbered WHERE s[i] >= least
+    )
+    SELECT doc_id, {counts},
+           sha256(coalesce(string_agg(kind || ':' || a || ':' || (a + size), ',' ORDER BY a, rank) FILTER (rank < {base}), '')) AS base_sha256,
+           coalesce(string_agg(kind || ':' || a || ':' || (a + size), ',' ORDER BY a, rank), '') AS spans
+    FROM d LEFT JOIN spans USING (id) GROUP BY id, doc_id
+    """
