@@ -42,8 +42,8 @@ _PAIR, _TRIPLE = np.uint64(0x27D4EB2F165667C5), np.uint64(0x94D049BB133111EB)
 
 @dataclass(frozen=True)
 class Config:
-    block_tokens: int = 1_500_000
-    keys_per_range: int = 3_000_000
+    block_tokens: int = 800_000
+    keys_per_range: int = 1_500_000
     folds: int = 10
     held_out: int = 0
     tuning: int = 1
@@ -55,7 +55,7 @@ class _Words(dict):
     """Word to 64-bit hash; forgets everything when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -109,6 +109,7 @@ class Tokens:
             inside = np.ones(len(self.one), bool)
             inside[self.end - 1] = False
             self.one[inside] = np.fromiter(map(_words.__getitem__, chain.from_iterable(words)), np.uint64)
+            del words, inside
             before, early = np.empty_like(self.one), np.empty_like(self.one)
             before[1:], early[2:] = self.one[:-1], self.one[:-2]
             before[self.begin] = early[self.begin] = START
@@ -245,11 +246,12 @@ def answers(asked: DataFrame, longer: int) -> DataFrame:
     def summed(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
         counts = [unpack(b) for b in table.column("counts").to_pylist()]
-        learnt = [k[c > 0] for k, c in zip(keys, counts)]
-        own = np.concatenate(learnt)
+        own = np.concatenate([k[c > 0] for k, c in zip(keys, counts)])
+        weight = np.concatenate([c[c > 0] for c in counts])
+        del counts
         order = np.argsort(own)
-        weight = np.concatenate([c[c > 0] for c in counts])[order]
-        own = own[order]
+        own, weight = own[order], weight[order]
+        del order
         first = _firsts(own)
         distinct = own[first]
         total = np.add.reduceat(weight, first) if len(own) else np.zeros(0, np.uint64)
