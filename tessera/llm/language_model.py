@@ -240,7 +240,7 @@ def requests(block_rows: DataFrame, config: Config, words: int, longer: int) ->
     return block_rows.select("block", "folds", "sizes", "texts").mapInArrow(asked, "range int, block long, keys binary, counts binary")
 
 
-def answers(asked: DataFrame, longer: int) -> DataFrame:
+def answers(asked: DataFrame) -> DataFrame:
     """(block, range, counts, known): the counts of all blocks in the order of the request; known: its learnt words."""
 
     def summed(table: pa.Table) -> pa.Table:
@@ -350,7 +350,7 @@ def score(documents: DataFrame, config: Config = Config()) -> DataFrame:
     ).first()
     longer = max(1, -(-size[0] * 3 // 2 // config.keys_per_range))
     words = max(1, longer // 8)
-    replies = scratch.write(answers(requests(rows, config, words, longer), longer), compression="none")
+    replies = scratch.write(answers(requests(rows, config, words, longer)), compression="none")
     known = replies.where(F.col("range") >= longer).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
     totals = Totals(int(size[1]), int(size[2]), int(known))
 
