@@ -35,7 +35,7 @@ def _ends_in_letter(core: bytes) -> bool:
 class RunTokens(dict):
     """Run of bytes to its ids as little-endian unsigned 32-bit bytes; forgets when it grows large."""
 
-    def __init__(self, path: str, most: int = 1_500_000) -> None:
+    def __init__(self, path: str, most: int = 1_300_000) -> None:
         super().__init__()
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer

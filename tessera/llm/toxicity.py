@@ -78,7 +78,7 @@ class _Hashes(dict):
     """Word to hash; forgets everything when it grows large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = zlib.crc32(word)
         return h
