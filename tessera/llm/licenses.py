@@ -61,10 +61,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(lowered, SPLIT), lambda w: w != "")
 
 
+def _need(size: int, threshold: float = THRESHOLD) -> int:
+    """How many of a template's words meet the threshold."""
+    return -int(-threshold * size // 1)
+
+
 def _templates() -> list[tuple[str, frozenset[str]]]:
     return [(label, frozenset(t.split())) for label, texts in sorted(TEMPLATES.items()) for t in texts]
 
 
+def _apart() -> list[list[frozenset[str]]]:
+    """For each template, the words that set it apart from each template of another label that could pass for it."""
+    own = _templates()
+    return [
+        [b - a for other, a in own if other != label and b - a and len(a & b) >= _need(len(b))] for label, b in own
+    ]
+
+
 def frequencies(texts: DataFrame) -> dict[str, int]:
     """How often each template word occurs in all texts (column words); other words are not counted."""
     known = sorted(set().union(*(t for _, t in _templates())))
@@ -86,8 +99,9 @@ def blocks(text: Column, window: int = WINDOW) -> Column:
 
 
 def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
-    """(key, line, template, containment) of every line and template of which a text block meets the threshold.
+    """(key, template, containment) of every text and template of which a text block meets the threshold.
 
+    A template that another label's could pass for needs a word that sets it apart in the same block (``_apart``).
     ``keyed`` has key, text and the text's words.
 
     ``ranks`` has the place of each template word in the global order, rare words first.
@@ -96,7 +110,7 @@ def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD)
     entries, whole = [], []
     for n, (_, own) in enumerate(_templates()):
         ordered = sorted(ranks[w] for w in own)
-        need = -int(-threshold * len(ordered) // 1)
+        need = _need(len(ordered), threshold)
         whole.append(ordered)
         for at, rank in enumerate(ordered[: len(ordered) - need + 1]):
             entries.append((rank, n, at, len(ordered), need))
@@ -106,6 +120,9 @@ def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD)
     starting_words = sorted(w for w, r in ranks.items() if r in set(starting))
     rank_of = F.create_map(*[x for w, r in sorted(ranks.items()) for x in (F.lit(w), F.lit(r))])
     sets = F.array(*[F.array(*[F.lit(r) for r in own]) for own in whole])
+    apart = F.array(*[
+        F.array(*[F.array(*[F.lit(ranks[w]) for w in sorted(x)]) for x in own]).cast("array<array<int>>") for own in _apart()
+    ])
 
     def known(block: Column) -> Column:
         own = F.filter(block, lambda w: w.isin(list(ranks)))
@@ -116,42 +133,29 @@ def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD)
     may = F.arrays_overlap("words", start_set)
     own_blocks = keyed.where(may).select("key", F.explode(blocks(F.col("text"))).alias("block"))
     ranked = own_blocks.where(F.arrays_overlap("block.words", start_set)).select(
-        "key", "block.line", known(F.col("block.words")).alias("ranks")
+        "key", known(F.col("block.words")).alias("ranks")
     )
     enough = ranked.where(F.size("ranks") >= least)
-    probes = enough.select("key", "line", "ranks", F.posexplode("ranks").alias("pos", "rank"))
+    probes = enough.select("key", "ranks", F.posexplode("ranks").alias("pos", "rank"))
     left = F.least(F.col("size") - F.col("at"), F.size("ranks") - F.col("pos"))  # the common word and those after it
     held = F.size(F.array_intersect("ranks", F.element_at(sets, F.col("template") + 1)))
     met = (
         probes.join(F.broadcast(prefix), "rank")  # as many rows as the templates' prefixes have words
         .where((F.size("ranks") >= F.col("need")) & (F.col("at") + left >= F.col("need")))
-        .select("key", "line", "template", "need", (held / F.col("size")).alias("containment"), held.alias("held"))
+        .where(F.forall(F.element_at(apart, F.col("template") + 1), lambda x: F.arrays_overlap(x, "ranks")))
+        .select("key", "template", "need", (held / F.col("size")).alias("containment"), held.alias("held"))
         .where("held >= need")
     )
-    return met.groupBy("key", "line", "template").agg(F.max("containment").alias("containment"))
+    return met.groupBy("key", "template").agg(F.max("containment").alias("containment"))
 
 
 def best(met: DataFrame) -> DataFrame:
-    """(key, labels, score): of the templates that meet the threshold in a line, those that it holds most of.
-
-    A template that is part of another such one does not count beside it.
-    """
-    sets = [own for _, own in _templates()]
-    above = F.array(*[
-        F.array(*[F.lit(j) for j, other in enumerate(sets) if own < other]).cast("array<int>") for own in sets
-    ])
+    """(key, labels, score): the labels of all templates that a block of the text meets, and the largest containment."""
     labels = F.array(*[F.lit(label) for label, _ in _templates()])
-    lines = met.groupBy("key", "line").agg(
-        F.max("containment").alias("most"), F.collect_list(F.struct("template", "containment")).alias("all")
-    )  # no more than the templates
-    top = F.transform(F.filter("all", lambda x: x["containment"] == F.col("most")), lambda x: x["template"])
-    kept = lines.withColumn("top", top).select(
-        "key",
-        "most",
-        F.filter("top", lambda t: ~F.arrays_overlap(F.element_at(above, t + 1), F.col("top"))).alias("own"),
+    return met.groupBy("key").agg(
+        F.collect_set(F.element_at(labels, F.col("template") + 1)).alias("more"),  # no more than the templates
+        F.max("containment").alias("score"),
     )
-    named = kept.select("key", "most", F.explode(F.transform("own", lambda t: F.element_at(labels, t + 1))).alias("label"))
-    return named.groupBy("key").agg(F.collect_set("label").alias("more"), F.max("most").alias("score"))
 
 
 def places(own: Column, phrase: str) -> Column:

@@ -196,6 +196,19 @@ def test_notices_get_their_own_label(spark, docs_dir):
     assert {r.doc_id: r.labels for r in found.collect()} == dict(enumerate(notices.values()))
 
 
+def test_every_notice_of_a_line_counts(spark, docs_dir):
+    near = "licensed under the Apache License 2.0"  # 7 of 8 words
+    texts = {
+        f"Released under the MIT License or {near}.": "apache-2.0,mit",
+        "Released under the MIT License. " + "filler " * 3000 + near: "apache-2.0,mit",
+        "Licensed under CC BY-NC 4.0. " + "filler " * 300 + "licensed under cc 4 0": "cc-by,cc-by-nc",
+        "Licensed under the GNU Lesser General Public License version 3": "gpl,lgpl",
+        "Licensed under the GNU General Public License version 3": "gpl",
+    }
+    found = licenses.op10_licenses(spark, docs_dir([(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.labels for r in found.collect()} == dict(enumerate(texts.values()))
+
+
 def test_licenses_of_odd_rows(spark, small_docs, no_docs):
     out = licenses.scan(small_docs).collect()
     assert len(out) == small_docs.count() and sum("reserved" in r.labels for r in out) == 1
