@@ -1,7 +1,7 @@
 """License scans as an exact set-similarity join, in DataFrame functions alone.
 
-Text blocks (lines, and overlapping windows of long lines) are joined with license templates by containment: the share
-of a template's words that the block holds. Words are ordered globally from rare to frequent, by how often the corpus
+Text blocks (overlapping, over the words of the whole text, whatever its lines) are joined with license templates by
+containment: the share of a template's words that the block holds. Words are ordered globally from rare to frequent, by how often the corpus
 uses them. A block that meets the threshold must hold a word of the template's prefix, so only blocks with such a word
 are joined (prefix filter), if they have enough known words (length filter), and if enough words are left on both sides
 of the first common one (positional filter); what remains is verified by the intersection itself. No block that meets the
@@ -56,7 +56,7 @@ THRESHOLD, WINDOW = 0.8, 48
 
 
 def words(text: Column) -> Column:
-    """Lower-cased words of a text, or of a line of one."""
+    """Lower-cased words of a text."""
     lowered = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
     return F.filter(F.split(lowered, SPLIT), lambda w: w != "")
 
@@ -86,23 +86,18 @@ def frequencies(texts: DataFrame) -> dict[str, int]:
     return {w: found.get(w, 0) for w in known}
 
 
-def blocks(text: Column, window: int = WINDOW) -> Column:
-    """(line, words) of a text's lines; long lines give windows that overlap by half."""
-    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), words)
+def blocks(own: Column, window: int = WINDOW) -> Column:
+    """Overlapping blocks of an array of words; every ``window`` words in a row lie in one of them."""
     step = window // 2
-
-    def cut(line: Column, number: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(line) - step), F.lit(step))
-        return F.transform(starts, lambda s: F.struct(number.alias("line"), F.slice(line, s, window).alias("words")))
-
-    return F.flatten(F.transform(F.filter(lines, lambda x: F.size(x) > 0), cut))
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(own) - window + 1), F.lit(step))
+    return F.transform(starts, lambda s: F.slice(own, s, window + step))
 
 
 def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
     """(key, template, containment) of every text and template of which a text block meets the threshold.
 
     A template that another label's could pass for needs a word that sets it apart in the same block (``_apart``).
-    ``keyed`` has key, text and the text's words.
+    ``keyed`` has key and the text's words.
 
     ``ranks`` has the place of each template word in the global order, rare words first.
     """
@@ -124,18 +119,15 @@ def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD)
         F.array(*[F.array(*[F.lit(ranks[w]) for w in sorted(x)]) for x in own]).cast("array<array<int>>") for own in _apart()
     ])
 
-    def known(block: Column) -> Column:
-        own = F.filter(block, lambda w: w.isin(list(ranks)))
-        return F.array_sort(F.array_distinct(F.transform(own, lambda w: F.element_at(rank_of, w))))
-
+    # Words that no template has keep their places as -1.
+    placed = F.transform("words", lambda w: F.when(w.isin(list(ranks)), F.element_at(rank_of, w)).otherwise(-1))
     # A word of some prefix must be in the text before its blocks are looked at, and in the block before it is joined.
-    start_set = F.array(*[F.lit(w) for w in starting_words])
-    may = F.arrays_overlap("words", start_set)
-    own_blocks = keyed.where(may).select("key", F.explode(blocks(F.col("text"))).alias("block"))
-    ranked = own_blocks.where(F.arrays_overlap("block.words", start_set)).select(
-        "key", known(F.col("block.words")).alias("ranks")
-    )
-    enough = ranked.where(F.size("ranks") >= least)
+    start_set, start_words = F.array(*[F.lit(r) for r in starting]), F.array(*[F.lit(w) for w in starting_words])
+    may = keyed.where(F.arrays_overlap("words", start_words)).select("key", placed.alias("placed"))
+    cut = F.filter(blocks(F.col("placed")), lambda b: F.arrays_overlap(b, start_set))
+    own_blocks = may.select("key", F.explode(cut).alias("block"))
+    enough = own_blocks.select("key", F.array_sort(F.array_distinct(F.filter("block", lambda r: r >= 0))).alias("ranks"))
+    enough = enough.where(F.size("ranks") >= least)
     probes = enough.select("key", "ranks", F.posexplode("ranks").alias("pos", "rank"))
     left = F.least(F.col("size") - F.col("at"), F.size("ranks") - F.col("pos"))  # the common word and those after it
     held = F.size(F.array_intersect("ranks", F.element_at(sets, F.col("template") + 1)))
@@ -181,7 +173,7 @@ def scan(documents: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     counts = frequencies(texts)
     ranks = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
     digest = F.md5("text")
-    found = join(texts.select(digest.alias("key"), "text", "words"), ranks, threshold)
+    found = join(texts.select(digest.alias("key"), "words"), ranks, threshold)
     found = best(found)
     based = (
         texts.withColumn("at", F.struct(*[places(F.col("words"), p).alias(f"p{i}") for i, p in enumerate(PHRASES)]))

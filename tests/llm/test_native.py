@@ -209,6 +209,35 @@ def test_every_notice_of_a_line_counts(spark, docs_dir):
     assert {r.doc_id: r.labels for r in found.collect()} == dict(enumerate(texts.values()))
 
 
+def _all_windows(t):
+    """Labels of all templates that any 48 words in a row meet, by brute force."""
+    words = WORD.findall(t.lower())
+    own = [(label, set(x.split())) for label, texts in licenses.TEMPLATES.items() for x in texts]
+    apart = {"agpl": "affero", "lgpl": "lesser", "cc-by-nc": "nc", "cc-by-sa": "sa"}
+    found = {label for phrase, label in licenses.PHRASES.items() if f" {phrase} " in f" {' '.join(words)} "}
+    for s in range(max(1, len(words) - 47)):
+        block = set(words[s : s + 48])
+        met = {label for label, x in own if len(block & x) >= 0.8 * len(x) - 1e-9}
+        found |= {label for label in met if label not in apart or apart[label] in block}
+    return ",".join(sorted(found))
+
+
+def test_notices_wrapped_over_lines(spark, docs_dir):
+    notices = [
+        "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that",
+        "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy",
+        "free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as",
+        "# Released\n# under\n#\n# the\n# MIT License",
+    ]
+    labels = ["bsd", "mpl-2.0", "gpl", "mit"]
+    texts = [t for t in notices] + ["one two\n" * k + t + "\nlast" * (k * 7 % 60) for k in range(60) for t in notices]
+    assert [_all_windows(t) for t in texts] == labels * 61
+    found = licenses.op10_licenses(spark, docs_dir([(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    got = {r.doc_id: (r.labels, r.score) for r in found.collect()}
+    assert [got[i][0] for i in range(len(texts))] == labels * 61
+    assert got[2][1] == 1.0
+
+
 def test_licenses_of_odd_rows(spark, small_docs, no_docs):
     out = licenses.scan(small_docs).collect()
     assert len(out) == small_docs.count() and sum("reserved" in r.labels for r in out) == 1
