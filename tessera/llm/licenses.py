@@ -4,8 +4,9 @@ Text blocks (overlapping, over the words of the whole text, whatever its lines)
 containment: the share of a template's words that the block holds. Words are ordered globally from rare to frequent, by how often the corpus
 uses them. A block that meets the threshold must hold a word of the template's prefix, so only blocks with such a word
 are joined (prefix filter), if they have enough known words (length filter), and if enough words are left on both sides
-of the first common one (positional filter); what remains is verified by the intersection itself. No block that meets the
-threshold is lost: every place where a template's words stand within ``WINDOW`` words lies in one block.
+of the first common one (positional filter). What remains is verified by the intersection itself, with every ``WINDOW``
+words in a row of the block. Every such window of the text lies in one block, so a template is found if and only if some
+``WINDOW`` words in a row meet the threshold, wherever in the text they stand.
 
 Apart from that, fixed phrases are found at every place (the base); their labels always stay.
 
@@ -94,9 +95,9 @@ def blocks(own: Column, window: int = WINDOW) -> Column:
 
 
 def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD) -> DataFrame:
-    """(key, template, containment) of every text and template of which a text block meets the threshold.
+    """(key, template, containment) of every text and template of which some window of the text meets the threshold.
 
-    A template that another label's could pass for needs a word that sets it apart in the same block (``_apart``).
+    A template that another label's could pass for needs a word that sets it apart in the same window (``_apart``).
     ``keyed`` has key and the text's words.
 
     ``ranks`` has the place of each template word in the global order, rare words first.
@@ -126,23 +127,31 @@ def join(keyed: DataFrame, ranks: dict[str, int], threshold: float = THRESHOLD)
     may = keyed.where(F.arrays_overlap("words", start_words)).select("key", placed.alias("placed"))
     cut = F.filter(blocks(F.col("placed")), lambda b: F.arrays_overlap(b, start_set))
     own_blocks = may.select("key", F.explode(cut).alias("block"))
-    enough = own_blocks.select("key", F.array_sort(F.array_distinct(F.filter("block", lambda r: r >= 0))).alias("ranks"))
+    enough = own_blocks.select("key", "block", F.array_sort(F.array_distinct(F.filter("block", lambda r: r >= 0))).alias("ranks"))
     enough = enough.where(F.size("ranks") >= least)
-    probes = enough.select("key", "ranks", F.posexplode("ranks").alias("pos", "rank"))
+    probes = enough.select("key", "block", "ranks", F.posexplode("ranks").alias("pos", "rank"))
     left = F.least(F.col("size") - F.col("at"), F.size("ranks") - F.col("pos"))  # the common word and those after it
-    held = F.size(F.array_intersect("ranks", F.element_at(sets, F.col("template") + 1)))
+    own = F.element_at(sets, F.col("template") + 1)
+    sure = F.element_at(apart, F.col("template") + 1)
+
+    def held(start: Column) -> Column:
+        window = F.slice("block", start, WINDOW)
+        return F.when(F.forall(sure, lambda x: F.arrays_overlap(x, window)), F.size(F.array_intersect(window, own))).otherwise(0)
+
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("block") - WINDOW + 1))
     met = (
         probes.join(F.broadcast(prefix), "rank")  # as many rows as the templates' prefixes have words
         .where((F.size("ranks") >= F.col("need")) & (F.col("at") + left >= F.col("need")))
-        .where(F.forall(F.element_at(apart, F.col("template") + 1), lambda x: F.arrays_overlap(x, "ranks")))
-        .select("key", "template", "need", (held / F.col("size")).alias("containment"), held.alias("held"))
+        .where(F.size(F.array_intersect("ranks", own)) >= F.col("need"))  # the block as a whole, before its windows
+        .select("key", "template", "need", "size", F.array_max(F.transform(starts, held)).alias("held"))
         .where("held >= need")
+        .select("key", "template", (F.col("held") / F.col("size")).alias("containment"))
     )
     return met.groupBy("key", "template").agg(F.max("containment").alias("containment"))
 
 
 def best(met: DataFrame) -> DataFrame:
-    """(key, labels, score): the labels of all templates that a block of the text meets, and the largest containment."""
+    """(key, labels, score): the labels of all templates that a window of the text meets, and the largest containment."""
     labels = F.array(*[F.lit(label) for label, _ in _templates()])
     return met.groupBy("key").agg(
         F.collect_set(F.element_at(labels, F.col("template") + 1)).alias("more"),  # no more than the templates

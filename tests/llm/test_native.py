@@ -238,6 +238,22 @@ def test_notices_wrapped_over_lines(spark, docs_dir):
     assert got[2][1] == 1.0
 
 
+def test_spread_notices_do_not_depend_on_their_place(spark, docs_dir):
+    rng = random.Random(4)
+    texts = []
+    for own in ("released under the mit license", "licensed under the apache license version 2 0", "licensed under cc by nc 4 0"):
+        ws = own.split()
+        for span in (26, 37, 47, 48, 49, 55, 72):
+            inside = sorted(rng.sample(range(1, span - 1), len(ws) - 2))
+            row = ["x"] * span
+            for at, w in zip([0, *inside, span - 1], ws):
+                row[at] = w
+            texts += [" ".join(["y"] * k + row + ["z"] * 60) for k in range(0, 50, 7)]
+    found = licenses.op10_licenses(spark, docs_dir([(i, t, "en", "s", 0) for i, t in enumerate(texts)]))
+    assert {r.doc_id: r.labels for r in found.collect()} == {i: _all_windows(t) for i, t in enumerate(texts)}
+    assert {_all_windows(t) for t in texts[:8]} == {"mit"}
+
+
 def test_licenses_of_odd_rows(spark, small_docs, no_docs):
     out = licenses.scan(small_docs).collect()
     assert len(out) == small_docs.count() and sum("reserved" in r.labels for r in out) == 1
