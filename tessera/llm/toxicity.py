@@ -7,8 +7,9 @@ whole text, each is max-pooled, and a dense layer turns the pooled values into a
 Training runs on the driver over a bounded sample of labelled documents (``Config.max_documents`` in the order of a
 hash of the id, ``Config.max_tokens`` words in all, documents of more than ``Config.max_document_tokens`` words left
 out). Scoring reads every whole text on the executors and moves no text between them. ``calibrate`` chooses a
-threshold for each language on the part of the sample that is kept from training; the language is used for that
-alone and never for the score.
+threshold for each language on all labelled documents that training did not use: they are scored on the executors, and
+counts of scores in ``Config.bins`` bins come back for each language and label. The language is used for that alone and
+never for the score.
 
 Defined cases: a null or empty text has no words and gets the score of an empty document; repeated rows each get a
 score; extra columns pass through ``score`` untouched, but for ones named like an output column, which the output
@@ -48,6 +49,7 @@ class Config:
     validation_share: float = 0.2
     max_clean_rejected: float = 0.005
     min_language: int = 150
+    bins: int = 10_000
     default_threshold: float = 0.7
     seed: int = 11
 
@@ -214,39 +216,69 @@ def train(documents: list[np.ndarray], labels: np.ndarray, config: Config = Conf
     return model
 
 
-def calibrate(model: Model, scores: np.ndarray, labels: np.ndarray, languages: list[str | None], config: Config) -> None:
+def calibrate(
+    model: Model,
+    scores: np.ndarray,
+    labels: np.ndarray,
+    languages: list[str | None],
+    config: Config,
+    counts: np.ndarray | None = None,
+) -> None:
     """Set the threshold of each language with enough clean documents: the lowest that rejects few of them.
 
-    Thresholds stay within 0.5 and 0.95; a language with fewer clean documents gets the one for all of them.
+    Each score counts as often as ``counts`` says, once by default. Thresholds stay within 0.5 and 0.95; a language with
+    fewer clean documents gets the one for all of them.
     """
+    labels = np.asarray(labels)
+    counts = np.ones(len(labels), np.int64) if counts is None else np.asarray(counts)
 
-    def lowest(clean: np.ndarray) -> float:
-        if len(clean) < config.min_language:
-            return config.default_threshold
-        return float(np.clip(np.quantile(clean, 1 - config.max_clean_rejected), 0.5, 0.95))
+    def lowest(clean: np.ndarray, fallback: float) -> float:
+        if counts[clean].sum() < config.min_language:
+            return fallback
+        share = 1 - config.max_clean_rejected
+        found = np.quantile(scores[clean], share, weights=counts[clean], method="inverted_cdf")
+        return float(np.clip(found, 0.5, 0.95))
 
-    labels = np.asarray(labels)
-    model.default_threshold = lowest(scores[labels == 0])
+    model.default_threshold = lowest(labels == 0, config.default_threshold)
     for name in sorted({x for x in languages if x is not None}):
         own = np.array([x == name for x in languages]) & (labels == 0)
-        model.thresholds[name] = lowest(scores[own]) if own.sum() >= config.min_language else model.default_threshold
+        model.thresholds[name] = lowest(own, model.default_threshold)
 
 
-def _sample(documents: DataFrame, labels: DataFrame, config: Config) -> list:
-    """Rows (order, toxic, lang, hashes) of the bounded sample, in the order of a hash of the id."""
-    rank = F.xxhash64(common.id_text())
-    chosen = (
+def _by_id(labels: DataFrame) -> DataFrame:
+    """One row for each labelled id, with the label and the hash of the id."""
+    return (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
         .agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-        .withColumn("__rank", rank)
-        .orderBy("__rank")
-        .limit(config.max_documents)
+        .withColumn("__rank", F.xxhash64(common.id_text()))
     )
-    columns = ["doc_id", "text", "lang"] if "lang" in documents.columns else ["doc_id", "text"]
-    joined = documents.select(*columns).join(F.broadcast(chosen), "doc_id")  # at most max_documents rows
-    if "lang" not in columns:
-        joined = joined.withColumn("lang", F.lit(None).cast("string"))
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    lang = F.col("lang").cast("string") if "lang" in documents.columns else F.lit(None).cast("string")
+    return documents.select("doc_id", "text", lang.alias("lang"))
+
+
+def score_counts(documents: DataFrame, labels: DataFrame, model: Model, trained: list[int], config: Config) -> DataFrame:
+    """(lang, toxic, bin, n): scores of the labelled documents whose hashed id is not in ``trained``.
+
+    Only ids and bins are joined with the labels, so no text is moved.
+    """
+    used = documents.sparkSession.createDataFrame([(r,) for r in trained], "__rank long")  # at most max_documents rows
+    rest = _texts(documents).where(F.col("doc_id").isNotNull()).withColumn("__rank", F.xxhash64(common.id_text()))
+    rest = rest.join(F.broadcast(used), "__rank", "left_anti")
+    at = F.least(F.floor(F.col("toxicity") * config.bins), F.lit(config.bins - 1)).cast("int")
+    # Repeated ids fall together before they are dealt.
+    scored = score(rest, model).groupBy("doc_id", "lang", at.alias("bin")).agg(F.count("*").alias("n"))
+    joined = scored.join(_by_id(labels).select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")), "doc_id")
+    return joined.groupBy("lang", "toxic", "bin").agg(F.sum("n").alias("n"))
+
+
+def _sample(documents: DataFrame, labels: DataFrame, config: Config) -> list:
+    """Rows (toxic, hashes, rank) of the bounded sample, in the order of a hash of the id."""
+    chosen = _by_id(labels).orderBy("__rank").limit(config.max_documents)
+    joined = _texts(documents).join(F.broadcast(chosen), "doc_id")  # at most max_documents rows
     limit = config.max_document_tokens
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,18 +288,17 @@ def _sample(documents: DataFrame, labels: DataFrame, config: Config) -> list:
                 {
                     "rank": batch.column("__rank"),
                     "toxic": batch.column("toxic"),
-                    "lang": batch.column("lang").cast(pa.string()),
                     "hashes": pa.array([x.tobytes() if len(x) <= limit else None for x in found], pa.binary()),
                 }
             )
 
-    rows = joined.mapInArrow(hashed, "rank long, toxic int, lang string, hashes binary").where("hashes is not null").collect()
+    rows = joined.mapInArrow(hashed, "rank long, toxic int, hashes binary").where("hashes is not null").collect()
     kept, tokens = [], 0
     for row in sorted(rows, key=lambda r: (r.rank, r.toxic, bytes(r.hashes))):
         tokens += len(row.hashes) // 4
         if tokens > config.max_tokens:
             break
-        kept.append((int(row.toxic > 0), row.lang, np.frombuffer(bytes(row.hashes), np.uint32)))
+        kept.append((int(row.toxic > 0), np.frombuffer(bytes(row.hashes), np.uint32), row.rank))
     return kept
 
 
@@ -275,11 +306,12 @@ def fit(documents: DataFrame, labels: DataFrame, config: Config = Config()) -> M
     """Train and calibrate on the labelled documents; callers leave held-out rows out of ``labels``."""
     rows = _sample(documents, labels, config)
     cut = int(len(rows) * (1 - config.validation_share))
-    learn, check = (rows[:cut], rows[cut:]) if len(rows) - cut >= 30 else (rows, [])
-    model = train([x[2] for x in learn], np.array([x[0] for x in learn]), config)
-    if check:
-        scores = predict(model, model.tables(), [_rows(model, x[2]) for x in check])
-        calibrate(model, scores, np.array([x[0] for x in check]), [x[1] for x in check], config)
+    learn = rows[:cut] if len(rows) - cut >= 30 else rows
+    model = train([x[1] for x in learn], np.array([x[0] for x in learn]), config)
+    if learn:
+        counts = score_counts(documents, labels, model, sorted({x[2] for x in learn}), config).collect()  # bins, not rows
+        above = np.array([(r.bin + 1) / config.bins for r in counts])  # the upper end: a bin is never rejected in part
+        calibrate(model, above, np.array([r.toxic for r in counts]), [r.lang for r in counts], config, np.array([r.n for r in counts]))
     return model
 
 

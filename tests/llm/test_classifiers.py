@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tessera.llm import common, quality_classifier, quality_rules, toxicity
 
@@ -62,6 +63,24 @@ def test_thresholds_follow_the_languages_clean_scores():
     assert model.thresholds["fr"] == model.default_threshold
 
 
+def test_thresholds_count_all_labelled_rows_that_training_left(spark):
+    rows, labels = _corpus(500, seed=8)
+    # Clean documents of the small language use the words of toxic ones.
+    rows = [(i, t + " " + BAD[i % 3], "xx", s, n) if i % 10 == 1 else (i, t, lang, s, n) for i, t, lang, s, n in rows]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    config = toxicity.Config(max_documents=100, min_language=30, max_clean_rejected=0.1)
+    model = toxicity.fit(documents, marks, config)
+    ranks = {r.doc_id: r.h for r in documents.select("doc_id", F.xxhash64(common.id_text()).alias("h")).collect()}
+    trained = sorted(ranks, key=ranks.get)[:100]
+    scores = {r.doc_id: r.toxicity for r in toxicity.score(documents, model).collect()}
+    for name in ("xx", "en", "de"):
+        clean = [scores[i] for i, _, lang, _, _ in rows if lang == name and labels[i][2] == 0 and i not in trained]
+        assert len(clean) >= 30
+        edge = (int(np.quantile(clean, 0.9, method="inverted_cdf") * config.bins) + 1) / config.bins
+        assert model.thresholds[name] == min(max(edge, 0.5), 0.95)
+
+
 def test_quality_finds_junk_and_walks_like_a_tree(spark, docs_dir, small_docs, no_docs):
     rows, labels = _corpus()
     out = quality_classifier.op2_quality_classifier(spark, docs_dir(rows, labels=labels)).collect()
