@@ -52,6 +52,13 @@ MORE = (
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 )
 RULES = BASE + MORE
+#: What follows a private key's header line: all up to the END line, or the base64 lines where END is missing.
+KEY_BODY = (
+    r"\A(?:\s*(?:Proc-Type|DEK-Info):[^\n]*\n){0,4}"
+    r"(?:[A-Za-z0-9+/=\s\\\"',>#*|]*-----END [A-Z ]{0,24}PRIVATE KEY-----"
+    r"|(?:[\s\"',>#*|]*+(?:\\[nr])*+[\s\"',>#*|]*+[A-Za-z0-9+/]{16,}+={0,2}+){0,512}"
+    r"(?:\s*+(?:\\[nr])*+\s*+[A-Za-z0-9+/]{1,15}={1,2})?)"
+)
 SPAN = "array<struct<start:int,rank:int,kind:string,end:int>>"
 
 
@@ -142,14 +149,17 @@ def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(scanned: DataFrame) -> DataFrame:
-    """``text`` with every span replaced by its kind in angle brackets; overlapping spans become one."""
+    """``text`` with every span replaced by its kind in angle brackets; overlapping spans become one.
+
+    A private key goes with its body, though its span is the header line alone.
+    """
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(a: Column, s: Column) -> Column:
         fresh = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        return F.struct(
-            F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"), F.greatest(a["at"], s["end"]).alias("at")
-        )
+        body = F.regexp_extract(F.substring(F.col("text"), s["end"] + 1, F.lit(2**31 - 1)), KEY_BODY, 0)
+        end = s["end"] + F.when(s["kind"] == "private_key", F.char_length(body)).otherwise(0)
+        return F.struct(F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"), F.greatest(a["at"], end).alias("at"))
 
     def close(a: Column) -> Column:
         return F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1)))

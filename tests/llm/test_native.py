@@ -140,6 +140,21 @@ def test_redaction_and_odd_rows(spark, small_docs, no_docs):
     assert out.count() == small_docs.count() and secrets.scan(no_docs).count() == 0
 
 
+def test_redaction_takes_the_body_of_a_private_key(spark):
+    rng = random.Random(3)
+    lines = ["".join(rng.choice("ABCxyz019+/") for _ in range(64)) for _ in range(400)] + ["Qk9EWQ=="]
+    head, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    texts = {
+        f"é a\n{head}\n" + "\n".join(lines) + f"\n{end}\nafter": "é a\n<private_key>\nafter",
+        f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES,00\n\n" + "\n".join(lines[:5]) + f"\n{end} z": "<private_key> z",
+        f'k = "{head}' + "\\n" + "\\n".join(lines[:9]) + "\\n" + f'{end}"': 'k = "<private_key>"',
+        f"{head}\n" + "\n".join(lines) + "\nNo end, but prose.": "<private_key>\nNo end, but prose.",
+        f"{head} is a header. No body here.": "<private_key> is a header. No body here.",
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(secrets.scan(df)).collect()} == dict(enumerate(texts.values()))
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
