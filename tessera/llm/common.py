@@ -6,6 +6,7 @@ import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,11 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes | None]:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The checkpoint folder the cluster names; a temporary one only where none is set, as in tests."""
+    """The checkpoint folder the cluster names; a temporary one only on a local master, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="tessera-checkpoint-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -42,7 +45,7 @@ _scratches: list[Scratch] = []
 class Scratch:
     """Tables written to the shared folder, so that a lost executor costs a reread and not the lineage.
 
-    Results are lazy and may read them, so they stay until ``clear`` or ``clear_all``.
+    Results are lazy and may read them, so they stay until ``clear``, ``clear_all`` or the end of a ``cleared`` block.
     """
 
     def __init__(self, spark: SparkSession, name: str) -> None:
@@ -79,6 +82,35 @@ def clear_all() -> None:
         _scratches.pop().clear()
 
 
+@contextmanager
+def cleared() -> Iterator[None]:
+    """Delete at the end of the block what operators wrote to the shared folder within it; results must be written by then."""
+    before = set(map(id, _scratches))
+    try:
+        yield
+    finally:
+        for own in [s for s in _scratches if id(s) not in before]:
+            own.clear()
+            _scratches.remove(own)
+
+
+def fresh(df: DataFrame, *wanted: str) -> list[str]:
+    """Column names like the wanted ones that the table does not have, whatever the case."""
+    have = {n.lower() for n in df.columns}
+    out = []
+    for name in wanted:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column name as ``F.col`` reads it, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def id_text(doc_id: str = "doc_id"):
     """The id as text; null ids count as the empty text."""
     return F.coalesce(F.col(doc_id).cast("string"), F.lit(""))

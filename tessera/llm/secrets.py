@@ -2,15 +2,20 @@
 
 Each rule's regular expression gives a Boolean trigram query. The needed trigrams of every text are its postings; they
 are intersected by counting, for each text and alternative, how many of its trigrams are there. Texts that fulfil a
-rule's query are candidates, brought back to the rows by the text's hash, and only they are verified by the regular
-expression. Rules without mandatory trigrams (long hexadecimal runs) scan every text. Equal texts share postings, and
-a collision of hashes could only add a candidate, which the verification then drops.
+rule's query are candidates, and only they are verified by the regular expression. Rules without mandatory trigrams
+(long hexadecimal runs) scan every text. Equal texts share postings, and a collision of hashes could only add a
+candidate, which the verification then drops.
+
+The index holds a hash of each text, not the text. The candidates' hashes go to the texts by broadcast if they are no
+more than ``broadcast_keys``, so that no text moves; beyond that both sides meet in a shuffle, with the same result.
 
 Spans are code points from the text's start, end exclusive. Matches of one rule are leftmost and do not overlap;
-matches that are too short count as matched but are dropped. Offsets come from the lengths of what lies between.
+matches that are too short count as matched but are dropped. Offsets are prefix sums of the lengths of the matches and
+of what lies between, made block by block, so that their cost is in proportion to the matches.
 
 Defined cases: a null text is empty and has no span; repeated rows each get their spans; rows are never matched by
-id; an empty table gives none; extra columns pass through ``scan``, but for ones named like an output.
+id; an empty table gives none; very long texts with very many spans cost no more for each span; extra columns pass
+through ``scan`` whatever they are called, but for one named secrets, which the output replaces.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import trigrams
+from tessera.llm import common, trigrams
 from tessera.llm.common import Scratch
 
 
@@ -66,36 +71,53 @@ def _bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _matches(text: Column, rule: Rule, rank: int) -> Column:
-    """Spans of one rule in one text."""
+def prefix(values: Column, combine, start: Column, levels: int = 2, block: int = 32) -> Column:
+    """What ``combine`` makes of the values before each place of an array; ``start`` for the first place.
+
+    Blocks are folded first and what lies before each of them comes from the level above, so a place costs half a block.
+    """
+
+    def before(own: Column, at: Column, n: Column, first: Column) -> Column:
+        return F.aggregate(F.slice(own, at, n), first, combine)
+
+    if not levels:
+        return _bind(values, lambda own: F.transform(own, lambda _, i: before(own, F.lit(1), i, start)))
+
+    def placed(own: Column) -> Column:
+        heads = F.when(F.size(own) > 0, F.sequence(F.lit(0), F.size(own) - 1, F.lit(block))).otherwise(F.array().cast("array<int>"))
+        folded = F.transform(heads, lambda h: before(own, h + 1, F.lit(block), start))
+        return _bind(
+            prefix(folded, combine, start, levels - 1, block),
+            lambda above: F.transform(own, lambda _, i: before(own, i - i % block + 1, i % block, F.element_at(above, (i / block).cast("int") + 1))),
+        )
+
+    return _bind(values, placed)
+
+
+def _parts(text: Column, rule: Rule, rank: int) -> Column:
+    """Lengths of one rule's matches in one text, of what lies between them, and of what must not be too short."""
     regex = F.lit(rule.pattern)
-    found = F.regexp_extract_all(text, regex, F.lit(0))
-    parts = F.struct(
-        F.transform(found, lambda m: F.char_length(m)).alias("m"),
+    found = F.transform(F.regexp_extract_all(text, regex, F.lit(0)), lambda m: F.char_length(m))
+    return F.struct(
+        F.lit(rank).alias("rank"),
+        F.lit(rule.kind).alias("kind"),
+        F.lit(rule.least).alias("least"),
+        found.alias("m"),
         F.transform(F.split(text, rule.pattern, -1), lambda g: F.char_length(g)).alias("g"),
-        (F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), lambda m: F.char_length(m)) if rule.group else
-         F.transform(found, lambda m: F.char_length(m))).alias("s"),
-    )
-
-    def spans(p: Column) -> Column:
-        def one(size: Column, i: Column) -> Column:
-            before = F.aggregate(F.slice(p["g"], 1, i + 1), F.lit(0), lambda a, x: a + x)
-            before = before + F.aggregate(F.slice(p["m"], 1, i), F.lit(0), lambda a, x: a + x)
-            return F.struct(
-                before.alias("start"),
-                F.lit(rank).alias("rank"),
-                F.lit(rule.kind).alias("kind"),
-                (before + size).alias("end"),
-                F.element_at(p["s"], i + 1).alias("own"),
-            )
-
-        all_ = F.filter(F.transform(p["m"], one), lambda s: s["own"] >= rule.least)
-        return F.transform(
-            all_,
-            lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["kind"].alias("kind"), s["end"].alias("end")),
-        )
+        F.transform(F.regexp_extract_all(text, regex, F.lit(rule.group)), lambda m: F.char_length(m)).alias("s"),
+    )
 
-    return _bind(parts, spans)
+
+def _spans(p: Column) -> Column:
+    """Spans from the lengths that ``_parts`` gives."""
+    # The gap before each match and the match itself: before a match lie all of them before it, and its gap.
+    steps = F.zip_with(F.slice(p["g"], 1, F.size(p["m"])), p["m"], lambda g, m: g + m)
+    ends = _bind(steps, lambda own: F.zip_with(prefix(own, lambda a, x: a + x, F.lit(0)), own, lambda a, x: a + x))
+    placed = F.zip_with(F.zip_with(ends, p["m"], lambda e, m: F.struct((e - m).alias("start"), e.alias("end"))), p["s"], lambda x, own: F.when(own >= p["least"], x))
+    return F.transform(
+        F.array_compact(placed),
+        lambda x: F.struct(x["start"].alias("start"), p["rank"].alias("rank"), p["kind"].alias("kind"), x["end"].alias("end")),
+    )
 
 
 def postings(texts: DataFrame, wanted: list[str]) -> DataFrame:
@@ -106,66 +128,85 @@ def postings(texts: DataFrame, wanted: list[str]) -> DataFrame:
 
 
 def candidates(texts: DataFrame, queries: dict[str, trigrams.Query]) -> DataFrame:
-    """(key, rules): the rules whose query the text's postings fulfil."""
+    """(__key, __rules): the rules whose query the text's postings fulfil, as a bit for each in the order of ``queries``."""
     spark = texts.sparkSession
-    clauses = [(rule, alt) for rule, q in sorted(queries.items()) for alt in q]
+    clauses = [(place, alt) for place, q in enumerate(queries.values()) for alt in q]
     terms = [(c, 1 << b, t) for c, (_, alt) in enumerate(clauses) for b, t in enumerate(sorted(alt))]
     table = spark.createDataFrame(terms, "clause int, bit long, trigram string")  # as many as the rules need
     whole = F.array(*[F.lit((1 << len(alt)) - 1).cast("long") for _, alt in clauses])
-    named = F.array(*[F.lit(rule) for rule, _ in clauses])
-    whole = (
+    rule = F.array(*[F.lit(1 << place).cast("long") for place, _ in clauses])
+    held = (
         postings(texts, sorted({t[2] for t in terms}))
         .join(F.broadcast(table), "trigram")
         .groupBy("__key", "clause")
         .agg(F.bit_or("bit").alias("held"))  # equal texts fall together before they are dealt
         .where(F.col("held") == F.element_at(whole, F.col("clause") + 1))
-        .withColumn("rule", F.element_at(named, F.col("clause") + 1))
     )
-    return whole.groupBy("__key").agg(F.collect_set("rule").alias("__rules"))
+    return held.groupBy("__key").agg(F.bit_or(F.element_at(rule, F.col("clause") + 1)).alias("__rules"))
 
 
-def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(documents: DataFrame, rules: tuple[Rule, ...] = RULES, broadcast_keys: int = 1_000_000) -> DataFrame:
     """``documents`` with secrets: spans (start, rank, kind, end) by start, then in the order of the rules."""
     base = documents.drop("secrets")
+    key, asked_of = common.fresh(base, "__key", "__rules")
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = base.withColumn("__key", F.xxhash64(text))
     queries = {r.kind: trigrams.query(r.pattern) for r in rules}
     indexed = {k: q for k, q in queries.items() if q}
+    rows, bits = base, F.lit(0).cast("long")
     if indexed:
-        # Written first, so that the join deals both sides itself and can split the rows of a text that is very common.
-        found = Scratch(base.sparkSession, "secrets").write(candidates(rows.select("__key", text.alias("__text")), indexed))
-        rows = rows.join(found.hint("shuffle_hash"), "__key", "left")
-    none = F.array().cast(SPAN)
+        hashed = F.xxhash64(text)
+        found = Scratch(base.sparkSession, "secrets").write(
+            candidates(base.select(hashed.alias("__key"), text.alias("__text")), indexed)
+        )
+        few = found.count() <= broadcast_keys
+        # Written first, so that a join beyond the bound deals both sides itself and can split the rows of a very common text.
+        side = found.toDF(key, asked_of)
+        rows = base.withColumn(key, hashed).join(F.broadcast(side) if few else side.hint("shuffle_hash"), key, "left")
+        bits = F.coalesce(F.col(asked_of), F.lit(0).cast("long"))
     each = []
     for rank, rule in enumerate(rules):
-        if rule.kind in indexed:
-            asked = F.coalesce(F.array_contains(F.col("__rules"), rule.kind), F.lit(False))
-        else:
-            asked = F.lit(True)
+        asked = bits.bitwiseAND(F.lit(1 << list(indexed).index(rule.kind))) != 0 if rule.kind in indexed else F.lit(True)
         # Few candidates match: the offsets are worked out for those alone.
-        each.append(F.when(asked & text.rlike(rule.pattern), _matches(text, rule, rank)).otherwise(none))
-    out = rows.withColumn("secrets", F.array_sort(F.concat(*each)))
-    return out.drop("__key", "__rules")
+        each.append(F.when(asked & text.rlike(rule.pattern), _parts(text, rule, rank)))
+    spans = F.flatten(F.transform(F.array_compact(F.array(*each)), _spans)).cast(SPAN)
+    return rows.withColumn("secrets", F.array_sort(spans)).drop(key, asked_of)
 
 
-def redact(scanned: DataFrame) -> DataFrame:
+def redact(scanned: DataFrame, chunk: int = 4096) -> DataFrame:
     """``text`` with every span replaced by its kind in angle brackets; overlapping spans become one.
 
-    A private key goes with its body, though its span is the header line alone.
+    A private key goes with its body, though its span is the header line alone. The text is cut into chunks once, and
+    what stays between spans is taken from those, so a text with very many spans is not read again for each.
     """
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(a: Column, s: Column) -> Column:
-        fresh = F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, s["start"] - a["at"]), F.lit("<"), s["kind"], F.lit(">"))
-        body = F.regexp_extract(F.substring(F.col("text"), s["end"] + 1, F.lit(2**31 - 1)), KEY_BODY, 0)
-        end = s["end"] + F.when(s["kind"] == "private_key", F.char_length(body)).otherwise(0)
-        return F.struct(F.when(s["start"] >= a["at"], fresh).otherwise(a["out"]).alias("out"), F.greatest(a["at"], end).alias("at"))
-
-    def close(a: Column) -> Column:
-        return F.concat(a["out"], F.substring(F.col("text"), a["at"] + 1, F.lit(2**31 - 1)))
-
-    cleaned = F.aggregate(F.col("secrets"), start, step, close)
-    return scanned.withColumn("text", F.when(F.size("secrets") > 0, cleaned).otherwise(F.col("text")))
+    text, rest = F.col("text"), F.lit(2**31 - 1)
+
+    def end_of(s: Column) -> Column:
+        body = F.regexp_extract(F.substring(text, s["end"] + 1, rest), KEY_BODY, 0)
+        return s["end"] + F.when(s["kind"] == "private_key", F.char_length(body)).otherwise(0)
+
+    def between(chunks: Column, a: Column, b: Column) -> Column:
+        first = (a / chunk).cast("int")
+        part = F.array_join(F.slice(chunks, first + 1, (b / chunk).cast("int") - first + 1), "")
+        return F.substring(part, a - first * chunk + 1, b - a)
+
+    def cleaned(x: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            at = F.element_at(x["taken"], i + 1)
+            return F.when(s["start"] >= at, F.concat(between(x["chunks"], at, s["start"]), F.lit("<"), s["kind"], F.lit(">"))).otherwise("")
+
+        last = F.greatest(F.element_at(x["taken"], -1), F.element_at(x["ends"], -1))
+        return F.concat(F.array_join(F.transform(F.col("secrets"), piece), ""), between(x["chunks"], last, F.char_length(text)))
+
+    ends = F.transform("secrets", end_of)
+    parts = _bind(
+        ends,
+        lambda e: F.struct(
+            e.alias("ends"),
+            prefix(e, lambda a, x: F.greatest(a, x), F.lit(0)).alias("taken"),
+            F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), F.lit(0)).alias("chunks"),
+        ),
+    )
+    return scanned.withColumn("text", F.when(F.size("secrets") > 0, _bind(parts, cleaned)).otherwise(text))
 
 
 def as_text(spans: Column) -> Column:
