@@ -50,12 +50,11 @@ class SchemaPolicyError(ComparisonError):
 
 
 class SchemaCastError(ComparisonError):
-    """A value does not fit the common type of its column."""
+    """A value does not fit the common type of its column; ``cause`` counts such values and has one of them."""
 
-    def __init__(self, column: str, side: Side, source: Any, target: Any, count: int | None = None) -> None:
-        self.column, self.side, self.source, self.target, self.count = column, side, source, target, count
-        many = f"{count} values" if count else "values"
-        super().__init__(f"{many} of {side} column {column!r} do not fit when {source} becomes {target}")
+    def __init__(self, column: str, side: Side, source: Any, target: Any, cause: BaseException) -> None:
+        self.column, self.side, self.source, self.target, self.cause = column, side, source, target, cause
+        super().__init__(f"{side} column {column!r} cannot go from {source} to {target}: {cause}")
 
 
 class SnippetError(Exception):

@@ -6,24 +6,21 @@ casts give null where they do not fit, and ``misfit`` tells such values apart.
 
 from __future__ import annotations
 
-from contextlib import contextmanager
-
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.types import Kind, to_spark
 
 
-@contextmanager
-def exact_names(spark: SparkSession):
-    """Field names are told apart by case while expressions are resolved."""
-    key = "spark.sql.caseSensitive"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+def fields_of(c: Column, k: Kind) -> list[Column]:
+    """The fields of a struct by their places, whatever the session's rule on upper and lower case."""
+    named = c.cast(T.StructType([T.StructField(f"f{i}", to_spark(child)) for i, (_, child, _) in enumerate(k.children)]))
+    return [named.getField(f"f{i}") for i in range(len(k.children))]
+
+
+def by_name(c: Column, k: Kind) -> dict[str, tuple[Column, Kind]]:
+    return {n: (value, child) for (n, child, _), value in zip(k.children, fields_of(c, k))}
 
 
 def _micros(c: Column, zoned: bool) -> Column:
@@ -51,8 +48,8 @@ def cast(c: Column, source: Kind, target: Kind) -> Column:
         keyed = c if ka == kb else F.transform_keys(c, lambda k, _: cast(k, ka, kb))
         return keyed if va == vb else F.transform_values(keyed, lambda _, v: cast(v, va, vb))
     if target.name == "struct":
-        have = {n: k for n, k, _ in source.children}
-        fields = [cast(c.getField(n), have[n], k).alias(n) for n, k, _ in target.children]
+        have = by_name(c, source)
+        fields = [cast(*have[n], k).alias(n) for n, k, _ in target.children]
         return F.when(c.isNotNull(), F.struct(*fields))
     if source.name == "timestamp" and target.unit == "ns" and source.unit != "ns":
         return F.try_multiply(_micros(c, source.zone is not None), F.lit(1000).cast("long"))
@@ -85,8 +82,8 @@ def misfit(c: Column, source: Kind, target: Kind) -> Column | None:
                 tests.append(F.coalesce(_any(values, a, b), F.lit(False)))
         return _either(tests)
     if target.name == "struct":
-        have = {n: k for n, k, _ in source.children}
-        tests = [misfit(c.getField(n), have[n], k) for n, k, _ in target.children]
+        have = by_name(c, source)
+        tests = [misfit(*have[n], k) for n, k, _ in target.children]
         return _either([F.coalesce(t, F.lit(False)) for t in tests if t is not None])
     return None
 

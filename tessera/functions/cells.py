@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.casts import fields_of
 from tessera.types import Kind
 
 
@@ -23,7 +24,7 @@ def comparable(c: Column, k: Kind) -> Column:
             lambda e: F.struct(comparable(e["key"], key).alias("key"), comparable(e["value"], value).alias("value")),
         )
     if k.name == "struct":
-        fields = [comparable(c.getField(n), child).alias(n) for n, child, _ in k.children]
+        fields = [comparable(own, child).alias(n) for own, (n, child, _) in zip(fields_of(c, k), k.children)]
         return F.when(c.isNotNull(), F.struct(*fields))
     element = k.child(0)
     return F.transform(c, lambda x: comparable(x, element))
@@ -37,7 +38,7 @@ def differs(a: Column, b: Column, k: Kind) -> Column:
 def order_keys(c: Column, k: Kind) -> list[Column]:
     """Ascending keys, nulls last and NaN before them; a struct gives the keys of its leaves."""
     if k.name == "struct":
-        return [key for n, child, _ in k.children for key in order_keys(c.getField(n), child)]
+        return [key for own, (_, child, _) in zip(fields_of(c, k), k.children) for key in order_keys(own, child)]
     return [] if k.name == "null" else [c.asc_nulls_last()]
 
 

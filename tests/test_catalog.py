@@ -32,5 +32,21 @@ def test_query_equals_its_sql(spark, duck, name):
 
 
 def test_entry(spark):
-    assert [tuple(r) for r in entry.entry(spark).collect()] == [(1, "name", "ont", "NATION_1")]
+    (row,) = entry.entry(spark).collect()
+    assert row.column == "with_fee" and row.expected == "0" and int(row.actual) > 250
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_only_the_optional_parts_may_be_absent(monkeypatch):
+    def absent(name):
+        def load(_):
+            raise ModuleNotFoundError(f"no {name}", name=name)
+
+        return load
+
+    for name in ("tessera.llm", "corpus_pipeline"):
+        monkeypatch.setattr(entry.importlib, "import_module", absent(name))
+        assert entry._optional("tessera.llm.registry") is None
+    monkeypatch.setattr(entry.importlib, "import_module", absent("xxhash"))
+    with pytest.raises(ModuleNotFoundError):
+        entry._optional("tessera.llm.registry")

@@ -4,7 +4,7 @@ import pytest
 
 import tessera as t
 from tessera.__main__ import main
-from tessera.catalog import SCRIPT
+from tessera.catalog import SCRIPT_PATH
 from tessera.plans.script import tag_of
 
 SQL = """
@@ -89,15 +89,15 @@ def test_ctes_stay_only_where_they_are_read(spark, script):
     main_ = t.by_tag(spark, "main", script)
     text = main_.rewritten({"a": "va", "b": "vb", "other": "vo"})
     assert "three as" in text and "two as" not in text and "one as" not in text
-    joined = t.by_tag(spark, "main", t.Script(SCRIPT))
-    assert "WITH" not in joined.rewritten({k: f"v_{k}" for k in "cstd"})
+    joined = t.by_tag(spark, "customer_report", SCRIPT_PATH)
+    assert "WITH" not in joined.rewritten({k: f"v_{k}" for k in "csh"})
 
 
 def test_self_join_takes_a_fixture_for_each_alias(spark):
-    pairs = t.by_tag(spark, "pairs", t.Script(SCRIPT))
-    assert pairs.source_aliases() == ["low", "high"]
-    low, high = (spark.createDataFrame(rows, "num int, region int") for rows in ([(1, 0)], [(2, 0), (3, 1)]))
-    assert [tuple(r) for r in pairs.run({"low": low, "high": high}).collect()] == [(1, 2, 0)]
+    pairs = t.by_tag(spark, "neighbours", SCRIPT_PATH)
+    assert pairs.source_aliases() == ["a", "b"]
+    a, b = (spark.createDataFrame(rows, "suppkey long, name string") for rows in ([(1, "x"), (3, "y")], [(2, "z"), (3, "w")]))
+    assert [tuple(r) for r in pairs.run({"a": a, "b": b}).collect()] == [(1, "x", 2, "z")]
 
 
 def test_derived_tables(spark):
@@ -140,5 +140,5 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["run", str(path), "two"]) == 2 and "numbers" in capsys.readouterr().err
     assert main(["list", str(path)]) == 0 and "inner" in capsys.readouterr().out
     assert main(["demo"]) == 1
-    assert capsys.readouterr().out.endswith("FAILED\n1 of 4 rows differ:\n  row 0, column 'name': expected 'ont', actual 'one'\n")
+    assert capsys.readouterr().out.endswith("FAILED\n1 of 3 rows differ:\n  row 1, column 'wanted': expected 2, actual 1\n")
     assert main([]) == 0
