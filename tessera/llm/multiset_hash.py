@@ -10,19 +10,25 @@ narrow lanes of single bits, three to a long with a guard bit each. The narrow l
 signs, are a linear sketch of the multiset: their cosine estimates the cosine of two multisets (``likeness``), with a
 standard error of about one over the root of ``LANES``.
 
-Each document needs its successor in the order of ids. Ids are cut into ranges at sampled quantiles, every row goes
-to its range, and the first row of a range also goes to the end of the range before it; so texts move once, and no
-range holds more than a bounded share of the rows.
+Each document needs its successor in the order of ids. Rows have a key that no other row has: the id, a hash of the text
+and the row's place in the input. A first pass range-partitions the keys alone and takes the least of each part, so
+ranges hold even shares of the rows whatever the ids: neither null ids, nor one id, nor one row repeated very often
+fill a range. A second pass finds each row's range by binary search in those keys, one for each shuffle partition, and
+sends the row there; the row that opens a range also goes to the end of the range before it. So texts move once. Both
+passes number the rows as they are read, so the input must be a table or something written.
 
 Defined cases: a null text is empty; an empty text has no paragraph and is like itself only; null ids come last;
-rows that share an id are ordered by text; the last row's successor is the first row, which for a single row is
-itself; an empty table gives none; extra columns are ignored.
+rows that share an id are ordered by the hash of the text; the last row's successor is the first row, which for a single
+row is itself; an empty table gives none; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.llm import common
 
 BOUNDARY = r"\n+|(?<=[.!?;:,|])[ \t]+"
 SHIFTS, FIELD, MODULUS = 21, 21, 1 << 20
@@ -118,61 +124,62 @@ def as_text(v: Column) -> Column:
     return F.lower(F.concat_ws(".", F.transform(v, lambda x: F.hex(x))))
 
 
-def _ranges(ids: DataFrame, rows_per_range: int, most: int) -> list:
-    """Cuts between ranges of ids, ascending: at most ``most`` values."""
-    n = ids.count()
-    wanted = min(most, -(-n // rows_per_range))
-    if wanted < 2:
-        return []
-    shares = [i / wanted for i in range(1, wanted)]
-    found = ids.agg(F.percentile_approx("doc_id", shares, 20 * wanted).alias("cuts")).first().cuts
-    return sorted({x for x in found or [] if x is not None})
+def _key(id_: Column, hash_: Column, row: Column) -> Column:
+    """Keys in order: ids ascending and nulls last, then the text's hash, then the place in the input."""
+    return F.struct(id_.isNull().cast("int").alias("n"), id_.alias("id"), hash_.alias("h"), row.alias("r"))
 
 
-def with_next(documents: DataFrame, carried: list[str], rows_per_range: int = 1000, most_ranges: int = 65536) -> DataFrame:
-    """The rows with next_<name> of each carried column, from the row after in the order of (doc_id, text)."""
-    cuts = _ranges(documents.select("doc_id"), rows_per_range, most_ranges)
-    kind = documents.schema["doc_id"].dataType
-    wide = max(1, int(len(cuts) ** 0.5))
-    coarse, fine = cuts[wide - 1 :: wide], [cuts[i : i + wide] for i in range(0, len(cuts), wide)]
+def _constants(values: list, kind: T.DataType) -> Column:
+    """Values as one array; numbers are written as a single text, which the optimiser folds into one constant."""
+    if not isinstance(kind, T.IntegralType):
+        return F.array(*[F.lit(v).cast(kind) for v in values])
+    parts = F.split(F.lit(",".join("" if v is None else str(v) for v in values)), ",")
+    return parts.try_cast(T.ArrayType(kind))  # an empty part is null
 
-    def below(values: list, x: Column) -> Column:
-        array = F.array(*[F.lit(v).cast(kind) for v in values]) if values else F.array().cast(f"array<{kind.simpleString()}>")
-        return F.size(F.filter(array, lambda c: c < x))
 
-    def range_of(x: Column) -> Column:
-        if not cuts:
-            inside = F.lit(0)
-        else:
-            block = below(coarse, x)
-            parts = F.array(*[F.array(*[F.lit(v).cast(kind) for v in part]) for part in [*fine, fine[-1]]])
-            rest = F.size(F.filter(F.element_at(parts, block + 1), lambda c: c < x))
-            inside = F.when(block * wide >= len(cuts), len(cuts)).otherwise(block * wide + rest)
-        return F.when(x.isNull(), len(cuts) + 1).otherwise(inside)
-
-    firsts = {r.g: r.first for r in documents.select(range_of(F.col("doc_id")).alias("g"), "doc_id").groupBy("g").agg(F.min("doc_id").alias("first")).collect()}
-    present = sorted(firsts)  # no more than most_ranges + 2
-    size = len(cuts) + 2
-    first = F.array(*[F.lit(firsts.get(g)).cast(kind) for g in range(size)])
-    before = [present[present.index(g) - 1] if g in firsts else -1 for g in range(size)]
-    place = F.struct(F.col("__range").alias("at"), F.lit(0).alias("ghost"))
-    ghost = F.struct(F.element_at(F.array(*[F.lit(b) for b in before]), F.col("__range") + 1).alias("at"), F.lit(1).alias("ghost"))
-    opens = F.col("doc_id").eqNullSafe(F.element_at(first, F.col("__range") + 1))
-    dealt = documents.withColumn("__range", range_of(F.col("doc_id"))).withColumn(
-        "__place", F.explode(F.when(opens, F.array(place, ghost)).otherwise(F.array(place)))
+def with_next(documents: DataFrame, carried: dict[str, Column], ranges: int | None = None) -> DataFrame:
+    """(doc_id, text) with each carried column and next_<name> of it and of text, from the row after.
+
+    The carried expressions are of doc_id and text and are worked out once rows are in their ranges.
+    """
+    ranges = max(1, ranges or common.partitions(documents.sparkSession))
+    kind = documents.schema["doc_id"].dataType
+    rows = documents.select("doc_id", "text").withColumn(
+        "__key", _key(F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id())
+    )
+    parts = rows.select("__key").repartitionByRange(ranges, "__key").withColumn("part", F.spark_partition_id())
+    least = [r.least for r in parts.groupBy("part").agg(F.min("__key").alias("least")).collect()]  # one for each range
+    least.sort(key=lambda k: (k.n, k.n == 0 and k.id, k.h, k.r))
+    count = max(1, len(least))
+    fields = {"n": T.IntegerType(), "id": kind, "h": T.LongType(), "r": T.LongType()}
+    columns = {n: _constants([k[n] for k in least], t) for n, t in fields.items()}
+
+    def opening(i: Column) -> Column:
+        """The key that opens a range."""
+        return F.struct(*[F.element_at(c, i + 1).alias(n) for n, c in columns.items()])
+
+    key = F.col("__key")
+    steps = [1 << b for b in reversed(range((count - 1).bit_length()))]
+    place = F.aggregate(
+        F.array(*[F.lit(s) for s in steps]).cast("array<int>"),
+        F.lit(0),
+        lambda at, s: F.when(at + s < count, F.when(opening(at + s) <= key, at + s).otherwise(at)).otherwise(at),
     )
-    after = Window.partitionBy("__place.at").orderBy("__place.ghost", F.col("doc_id").asc_nulls_last(), "text")
-    return (
-        dealt.select("*", *[F.lead(n).over(after).alias(f"next_{n}") for n in carried])
-        .where(F.col("__place.ghost") == 0)
-        .drop("__range", "__place")
+    at = F.col("__range")
+    own = F.struct(at.alias("at"), F.lit(0).alias("ghost"))
+    ghost = F.struct(F.pmod(at - 1, F.lit(count)).alias("at"), F.lit(1).alias("ghost"))
+    dealt = rows.withColumn("__range", place if least else F.lit(0)).withColumn(
+        "__place", F.explode(F.when(opening(at).eqNullSafe(key), F.array(own, ghost)).otherwise(F.array(own)) if least else F.array(own))
     )
+    met = dealt.select("doc_id", "text", "__key", "__place.at", "__place.ghost").repartition(ranges, "at").withColumns(carried)
+    after = Window.partitionBy("at").orderBy("ghost", "__key")
+    names = ["text", *carried]
+    return met.select("*", *[F.lead(n).over(after).alias(f"next_{n}") for n in names]).where("ghost = 0").drop("__key", "at", "ghost")
 
 
 def op8_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    own = documents.withColumn("v", vector(F.col("text")))
-    paired = with_next(own, ["text", "v"])
+    paired = with_next(documents, {"v": vector(F.col("text"))})
     half = F.floor(F.col("n_chars") / 2).cast("int")
     kept = F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half)
     edited = (
