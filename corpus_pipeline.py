@@ -1,7 +1,8 @@
 """A training corpus from ``documents`` in five stages, each written as Parquet and reread as the next one's input.
 
 1. toxicity: documents above their language's threshold go;
-2. near_duplicates: one document of each group of SimHash near-duplicates stays, the one with the smallest doc_id;
+2. near_duplicates: of each group of near copies one document stays, the one with the smallest doc_id; candidates meet in
+   SimHash balls, and a link takes shingles of five words that resemble each other by 0.8 or more;
 3. secrets: spans that look like secrets are replaced by their kind, and n_chars follows;
 4. mixing: documents are taken as often as systematic sampling to the sources' targets takes them;
 5. packing: what is left is packed into token sequences.
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import mixing, packing, secrets, simhash, toxicity
-from tessera.llm.common import Scratch
+from tessera.llm.common import Scratch, cleared
 
 #: No SQL: the classifier is trained and the packing is a search. Tests hold the stages against brute force instead.
 ORACLE_SQL = None
@@ -55,11 +56,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that share the kept id are told apart by a hash of the text, the smallest of which stays."""
     keyed = docs.withColumn("__text_key", F.xxhash64("text"))
-    found = simhash.near_duplicates(keyed, keep=("doc_id", "__text_key"))
+    found = simhash.near_copies(keyed, keep=("doc_id", "__text_key"))
     first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component").agg(
         F.min(F.struct(F.col("doc_id"), F.col("__text_key"))).alias("kept")
     )
     kept = first.select(F.col("kept.doc_id").alias("__id"), F.col("kept.__text_key").alias("__key")).distinct()
+    kept = Scratch(spark, "near-duplicates").write(kept)  # the join then deals both sides itself, and can split repeated rows
     chosen = keyed.join(
         kept, keyed["doc_id"].eqNullSafe(kept["__id"]) & (keyed["__text_key"] == kept["__key"]), "left_semi"
     )
@@ -93,9 +95,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``."""
+    """Apply the stages to ``documents``. What a stage wrote on its way goes with its end, and its input with it."""
     scratch = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = scratch.write(stage(spark, docs, sf_dir))
+    for number, (_, stage) in enumerate(STAGES):
+        with cleared():
+            docs = scratch.write(stage(spark, docs, sf_dir))
+        if number:
+            scratch.drop(number)
     return docs
