@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import xxhash
 
@@ -56,6 +58,21 @@ def test_balls_lose_no_link():
         assert _groups(nodes, links) == _groups(nodes, near)
 
 
+def test_balls_of_radius_two_lose_no_link():
+    rng = np.random.default_rng(7)
+    values = rng.integers(0, 2**63, 60).astype(np.uint64)
+    for _ in range(3):
+        flip = np.uint64(1) << rng.integers(0, 64, len(values)).astype(np.uint64)
+        values = np.unique(np.append(values, values ^ np.resize(flip, len(values))))
+    held = {}
+    for at, blob in simhash._deal(values, 5, 2):
+        held.setdefault(at, []).append(blob)
+    links = [(int(a), int(b)) for blobs in held.values() for a, b in zip(*simhash._meet(blobs, 2))]
+    assert all((a ^ b).bit_count() <= 2 for a, b in links)
+    near = [(int(a), int(b)) for a in values for b in values[np.bitwise_count(values ^ a) <= 2]]
+    assert _groups(values.tolist(), links) == _groups(values.tolist(), near)
+
+
 def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     found = components(spark.createDataFrame(links, "u long, v long"), Scratch(spark, "test")).collect()
@@ -76,3 +93,76 @@ def test_near_duplicates(spark, docs_dir, small_docs, no_docs):
     odd = simhash.near_duplicates(small_docs).collect()
     assert len(odd) == small_docs.count() and all(r.component_id is not None for r in odd if r.doc_id is not None)
     assert simhash.near_duplicates(no_docs).count() == 0
+
+
+def _resemblance(a, b, k=5):
+    def shingles(t):
+        words = (t or "").lower().split()
+        return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y) if x or y else 1.0
+
+
+def _edited(rng, words, edits):
+    own = list(words)
+    for _ in range(edits):
+        at = rng.randrange(len(own))
+        own[at : at + 1] = rng.choice([[], [f"new{rng.random()}"], [own[at], f"new{rng.random()}"]])
+    return " ".join(own)
+
+
+def test_sketches_estimate_the_resemblance():
+    rng, errors = np.random.default_rng(2), []
+    pick = random.Random(3)
+    for n in (12, 40, 300, 3000):
+        for edits in (0, 1, n // 60, n // 30, n // 10):
+            words = [f"w{x}" for x in rng.zipf(1.3, n)]
+            a, b = " ".join(words), _edited(pick, words, edits)
+            found = simhash.similarity(simhash.profile(a.encode())[2], simhash.profile(b.encode())[2])
+            errors.append(found - _resemblance(a, b))
+    assert max(map(abs, errors)) < 0.12 and abs(np.mean(errors)) < 0.02
+    assert simhash.similarity(simhash.profile(b"")[2], simhash.profile(None)[2]) == 1.0
+
+
+def test_near_copies_are_found_and_others_left_alone(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows, of = [], {}
+    for base in range(60):
+        words = rng.choices(vocabulary, range(3000, 0, -1), k=rng.randrange(60, 900))
+        texts = [" ".join(words)] + [_edited(rng, words, max(1, len(words) // 80)) for _ in range(3)] + [" ".join(words).upper()]
+        shuffled = " ".join(rng.sample(words, len(words)))  # the same words in another order are no copy
+        for t in [*texts, shuffled]:
+            of[len(rows)] = t
+            rows.append((len(rows), t))
+    large = rng.choices(vocabulary, k=200)
+    rows += [(1000 + i, _edited(rng, large, 1)) for i in range(400)]
+    found = {r.doc_id: r.component for r in simhash.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len({found[i] for i in found if i >= 1000}) == 1
+    near = missed = 0
+    for base in range(0, 360, 6):
+        for a in range(base, base + 6):
+            for b in range(a + 1, base + 6):
+                same, r = found[a] == found[b], _resemblance(of[a], of[b])
+                near, missed = near + (r >= 0.85), missed + (r >= 0.85 and not same)
+                assert not (b == base + 5 and same)
+    assert near > 200 and missed <= 0.05 * near
+    assert len({found[i] for i in range(0, 360, 6)}) == 60
+
+
+def test_near_copies_of_odd_rows(spark, small_docs, no_docs):
+    odd = simhash.near_copies(small_docs).collect()
+    assert len(odd) == small_docs.count() and all(r.component_id is not None for r in odd if r.doc_id is not None)
+    empty = {r.component for r in odd if r.doc_id in (2, 3, 5)}
+    assert len(empty) == 1 and simhash.near_copies(no_docs).count() == 0
+
+
+def test_dealing_and_buckets_grow_together():
+    rng = np.random.default_rng(5)
+    values = np.unique(rng.integers(0, 2**63, 300).astype(np.uint64))
+    for buckets in (1, 50):
+        rows = list(simhash._deal(values, buckets))
+        held = sum(len(simhash._unpack(b)[0]) for _, b in rows)
+        odd = int((np.bitwise_count(values) % 2).sum())
+        assert held == odd * simhash.ODD_MASKS + (len(values) - odd) * len(simhash.MASKS)
