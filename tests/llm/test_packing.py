@@ -33,7 +33,7 @@ def test_operators_keep_packings_whole():
     _valid(packing.mutate(b, lengths, rng), lengths, 100)
     config = packing.Config(capacity=100)
     start = [packing._labels(b, 300)]
-    best = packing.evolve(lengths, start, config, 1)
+    best, _ = packing.evolve(lengths, start, config, 1)
     assert best[0].max() + 1 <= len(b.items)
 
 
@@ -47,16 +47,51 @@ def test_best_fit_is_the_tightest_bin():
     assert bins.items[0] == [1]
 
 
+def _triples(n, capacity, seed=9):
+    """Triples that fill a bin exactly; best fit by decreasing length finds few of them."""
+    rng, lengths = random.Random(seed), []
+    for _ in range(n):
+        a = rng.randrange(capacity * 26 // 100, capacity * 48 // 100)
+        b = rng.randrange(capacity * 26 // 100, min(capacity * 48 // 100, capacity * 3 // 4 - a))
+        lengths += [a, b, capacity - a - b]
+    return lengths
+
+
+def _best_fit(lengths, capacity):
+    order = sorted(range(len(lengths)), key=lambda i: (-lengths[i], i))
+    return len(packing.best_fit(order, lengths, capacity).items)
+
+
 def test_evolution_beats_best_fit_where_that_is_not_optimal():
-    # Triples that fill a bin exactly; best fit decreasing does not find them all.
-    rng = random.Random(9)
-    lengths = []
-    for _ in range(40):
-        a, b = rng.randrange(26, 50), rng.randrange(26, 35)
-        lengths += [a, b, 100 - a - b]
-    config = packing.Config(capacity=100, generations=60, population=10)
-    first = packing.evolve(lengths, [], packing.Config(capacity=100, generations=0), 3)
-    assert packing.evolve(lengths, [], config, 3)[0].max() <= first[0].max()
+    for n, seed in ((40, 9), (40, 10), (200, 11)):
+        lengths = _triples(n, 2048, seed)
+        config = packing.Config(generations=40)
+        best, crossed = packing.evolve(lengths, [], config, 3)
+        best, more = packing.evolve(lengths, best, config, 4)
+        assert n <= best[0].max() + 1 < _best_fit(lengths, 2048) and crossed and more
+        _valid(packing._bins(best[0], lengths, 2048), lengths, 2048)
+
+
+def test_packing_beats_best_fit_on_planted_triples(spark):
+    lengths = _triples(60, 2048)
+    rows = [(i, "the " * (n - 1)) for i, n in enumerate(lengths)]
+    packed, report = packing.pack_and_report(spark.createDataFrame(rows, "doc_id long, text string"))
+    rows = packed.collect()
+    assert sorted(r.length for r in rows) == sorted(lengths)
+    got, level = len({r.sequence_id for r in rows}), report.first()
+    assert 60 <= got < _best_fit(lengths, 2048) == level.best_fit and got == level.bins
+    assert level.crossovers > 0 and level.above_bound == 1
+
+
+def test_levels_win_back_what_blocks_waste(spark):
+    rng = random.Random(3)
+    rows = [(i, "the " * rng.choice([rng.randrange(1, 60), rng.randrange(300, 900)])) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    packed, report = packing.pack_and_report(df, packing.Config(block=60, generations=2, rounds=1))
+    rows, levels = packed.collect(), report.orderBy("level").collect()
+    assert len(rows) == 900 and len(levels) > 1 and levels[-1].reopened == 0
+    bound = -(-sum(r.length for r in rows) // 2048)
+    assert len({r.sequence_id for r in rows}) < levels[0].bins and len({r.sequence_id for r in rows}) <= bound + 1 + len(levels)
 
 
 def test_pack_places_every_piece_once(spark, small_docs, no_docs):
