@@ -9,11 +9,12 @@ document.
 
 The prefix sum runs over a range-partitioned order: each part counts its rows by source, the counts are summed over
 the parts, and each row adds its place within the part. No source meets in one task. What is gathered in one place has
-one row for each source.
+one row for each source, about 40 bytes: a task sorts ten million sources in its share of an executor's memory, and
+spills beyond that.
 
 Defined cases: a null text has size 0; a document of size 0 is counted like any other; null doc_id and null source are
 values of their own, nulls last; repeated rows are documents of their own; an empty table gives none; extra columns
-pass through ``mix``, but for ones named like an output.
+pass through ``mix`` whatever they are called, but for ones named like an output, which the output replaces.
 """
 
 from __future__ import annotations
@@ -90,11 +91,12 @@ def mix(
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "mixing")
     base = documents.drop(*ADDED).withColumn("size", size_of())
-    rows = scratch.write((base if keep_text else base.drop("text")).withColumn("__row", F.monotonically_increasing_id()))
+    (row,) = common.fresh(base, "__row")
+    rows = scratch.write((base if keep_text else base.drop("text")).withColumn(row, F.monotonically_increasing_id()))
     # Keys alone are ordered; the rest of the row waits in the written table.
     order = [F.col(n).asc_nulls_last() for n in ("source", "size", "doc_id")] + [F.col("__row")]
     ranged = scratch.write(
-        rows.select("__row", "source", "size", "doc_id")
+        rows.select(F.col(row).alias("__row"), "source", "size", "doc_id")
         .repartitionByRange(common.partitions(spark), *order)
         .withColumn("__part", F.spark_partition_id())
     )
@@ -115,15 +117,16 @@ def mix(
     at = F.col("start") + F.col("place")
     crossed = (F.floor(at * rate + F.col("offset")) - F.floor((at - 1) * rate + F.col("offset"))).cast("long")
     marked = placed.select(
-        "__row", "source_size", "target", crossed.alias("copies"), (crossed * F.col("size")).alias("taken")
+        F.col("__row").alias(row), "source_size", "target", crossed.alias("copies"), (crossed * F.col("size")).alias("taken")
     )
-    return rows.join(marked, "__row").drop("__row")
+    return rows.join(marked, row).drop(row)
 
 
 def emit(mixed: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it."""
+    (copy,) = common.fresh(mixed, "__copy")
     copies = F.sequence(F.lit(1), F.col("copies").cast("int"))
-    return mixed.where("copies > 0").withColumn("__copy", F.explode(copies)).drop("__copy")
+    return mixed.where("copies > 0").withColumn(copy, F.explode(copies)).drop(copy)
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,8 @@ def test_mix_matches_sql_and_its_targets(spark, docs_dir):
 def test_odd_rows(spark, small_docs, no_docs):
     out = mixing.mix(small_docs)
     assert out.count() == small_docs.count() and out.schema["size"].dataType.simpleString() == "bigint"
+    named = mixing.mix(small_docs.withColumnRenamed("lang", "__row").withColumnRenamed("n_chars", "__copy"))
+    assert {r["__row"] for r in mixing.emit(named).collect()} <= {"en", "fr", "de", "es", None} and "__copy" in named.columns
     emitted = mixing.emit(out)
     assert emitted.count() == sum(r.copies for r in out.collect())
     assert mixing.mix(no_docs).count() == 0
