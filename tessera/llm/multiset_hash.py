@@ -13,8 +13,9 @@ standard error of about one over the root of ``LANES``.
 Each document needs its successor in the order of ids. Rows have a key that no other row has: the id, a hash of the text
 and the row's place in the input. A first pass range-partitions the keys alone and takes the least of each part, so
 ranges hold even shares of the rows whatever the ids: neither null ids, nor one id, nor one row repeated very often
-fill a range. A second pass finds each row's range by binary search in those keys, one for each shuffle partition, and
-sends the row there; the row that opens a range also goes to the end of the range before it. So texts move once. Both
+fill a range. A second pass finds each row's range by binary search in those keys and
+sends the row there; the row that opens a range also goes to the end of the range before it. So texts move once. A range
+holds ``ROWS_PER_RANGE`` rows, or the root of all rows if that is more, so that the keys remain few. Both
 passes number the rows as they are read, so the input must be a table or something written.
 
 Defined cases: a null text is empty; an empty text has no paragraph and is like itself only; null ids come last;
@@ -24,6 +25,8 @@ row is itself; an empty table gives none; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,7 @@ ROOM = (MODULUS - 1) * ONES
 WIDE = (1 << 56) - 1
 HASHES, STRONG = 2, 2
 LANES = 3 * SHIFTS * HASHES
+ROWS_PER_RANGE = 20_000
 
 
 def _bind(value: Column, body) -> Column:
@@ -142,7 +146,9 @@ def with_next(documents: DataFrame, carried: dict[str, Column], ranges: int | No
 
     The carried expressions are of doc_id and text and are worked out once rows are in their ranges.
     """
-    ranges = max(1, ranges or common.partitions(documents.sparkSession))
+    if ranges is None:
+        n = documents.select("doc_id").count()
+        ranges = max(common.partitions(documents.sparkSession), -(-n // max(ROWS_PER_RANGE, math.isqrt(n))))
     kind = documents.schema["doc_id"].dataType
     rows = documents.select("doc_id", "text").withColumn(
         "__key", _key(F.col("doc_id"), F.xxhash64("text"), F.monotonically_increasing_id())
