@@ -5,8 +5,8 @@ zero row, so that a very long text does not meet a trained row by chance. Filter
 whole text, each is max-pooled, and a dense layer turns the pooled values into a score from 0 to 1.
 
 Training runs on the driver over a bounded sample of labelled documents (``Config.max_documents`` in the order of a
-hash of the id, ``Config.max_tokens`` words in all, documents of more than ``Config.max_document_tokens`` words left
-out). Scoring reads every whole text on the executors and moves no text between them. ``calibrate`` chooses a
+hash of the id, one for each id, ``Config.max_tokens`` words in all, documents of more than ``Config.max_document_tokens``
+words left out). The driver never holds more than that. Scoring reads every whole text on the executors and moves no text between them. ``calibrate`` chooses a
 threshold for each language on all labelled documents that training did not use: they are scored on the executors, and
 counts of scores in ``Config.bins`` bins come back for each language and label. The language is used for that alone and
 never for the score.
@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm import common
+from tessera.llm.common import Scratch
 
 
 @dataclass(frozen=True)
@@ -106,13 +107,14 @@ def _padded(documents: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarr
     return flat, starts
 
 
-def _pool(tables: list[np.ndarray], bias: np.ndarray, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Max over each document of the filters of one width; before the rectifier."""
+def _pool(tables: list[np.ndarray], bias: np.ndarray, flat: np.ndarray, starts: np.ndarray, pad: int) -> np.ndarray:
+    """Max over each document of the filters of one width; before the rectifier. No window reaches into the next document."""
     n = len(flat) - len(tables) + 1
     out = tables[0][flat[:n]]
     for j in range(1, len(tables)):
         out += tables[j][flat[j : j + n]]
-    return np.maximum.reduceat(out, starts, axis=0) + bias
+    ends = np.append(starts[1:], len(flat) - pad) - len(tables) + 1
+    return np.maximum.reduceat(out, np.stack([starts, ends], axis=1).ravel(), axis=0)[::2] + bias
 
 
 def predict(model: Model, tables: dict[int, list[np.ndarray]], documents: list[np.ndarray]) -> np.ndarray:
@@ -120,7 +122,7 @@ def predict(model: Model, tables: dict[int, list[np.ndarray]], documents: list[n
     if not documents:
         return np.zeros(0)
     flat, starts = _padded(documents, max(tables))
-    pooled = np.concatenate([_pool(tables[w], model.bias[w], flat, starts) for w in sorted(tables)], axis=1)
+    pooled = np.concatenate([_pool(tables[w], model.bias[w], flat, starts, max(tables)) for w in sorted(tables)], axis=1)
     z = np.maximum(pooled, 0) @ model.dense + model.dense_bias
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -147,6 +149,41 @@ def _evidence(documents: list[np.ndarray], labels: np.ndarray, config: Config) -
     return words, sure
 
 
+def gradient(slots: dict[str, np.ndarray], rows: list[np.ndarray], labels: np.ndarray, widths: tuple[int, ...]) -> dict[str, np.ndarray]:
+    """Of the mean log loss of documents given as embedding rows, with regard to every slot.
+
+    Slots: e (embedding, its row 0 being no word), kW and bW (filters and their bias of width W), d and db (dense layer).
+    """
+    f, d = slots[f"b{widths[0]}"].shape[0], slots["e"].shape[1]
+    flat, starts = _padded(rows, max(widths))
+    ends = np.append(starts[1:], len(flat) - max(widths))
+    pooled, places = [], {}
+    for w in widths:
+        tables = [slots["e"] @ slots[f"k{w}"][j] for j in range(w)]
+        n = len(flat) - w + 1
+        out = tables[0][flat[:n]]
+        for j in range(1, w):
+            out += tables[j][flat[j : j + n]]
+        places[w] = np.stack([s + out[s : e - w + 1].argmax(axis=0) for s, e in zip(starts, ends)])
+        pooled.append(out[places[w], np.arange(f)] + slots[f"b{w}"])
+    pre = np.concatenate(pooled, axis=1)
+    hidden = np.maximum(pre, 0)
+    z = hidden @ slots["d"] + slots["db"][0]
+    wrong = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) / len(rows)
+    grad = {k: np.zeros_like(v) for k, v in slots.items()}
+    grad["d"] = hidden.T @ wrong
+    grad["db"] = np.array([wrong.sum()])
+    back = (wrong[:, None] * slots["d"][None, :]) * (pre > 0)
+    for i, w in enumerate(widths):
+        g = back[:, i * f : (i + 1) * f]
+        grad[f"b{w}"] = g.sum(axis=0)
+        for j in range(w):
+            at = flat[places[w] + j]
+            grad[f"k{w}"][j] = np.einsum("nfd,nf->df", slots["e"][at], g)
+            np.add.at(grad["e"], at.ravel(), (g[:, :, None] * slots[f"k{w}"][j].T[None]).reshape(-1, d))
+    return grad
+
+
 def train(documents: list[np.ndarray], labels: np.ndarray, config: Config = Config()) -> Model:
     """Fit on documents given as word hashes; Adam on the log loss, the gradient flowing through each pooled window."""
     rng = np.random.default_rng(config.seed)
@@ -179,32 +216,7 @@ def train(documents: list[np.ndarray], labels: np.ndarray, config: Config = Conf
         order = rng.permutation(len(rows))
         for begin in range(0, len(order), config.batch):
             chosen = order[begin : begin + config.batch]
-            flat, starts = _padded([rows[i] for i in chosen], max(config.widths))
-            ends = np.append(starts[1:], len(flat) - max(config.widths))
-            pooled, places = [], {}
-            tables = model.tables()
-            for w in config.widths:
-                n = len(flat) - w + 1
-                out = tables[w][0][flat[:n]]
-                for j in range(1, w):
-                    out += tables[w][j][flat[j : j + n]]
-                places[w] = np.stack([s + out[s : min(e, n)].argmax(axis=0) for s, e in zip(starts, ends)])
-                pooled.append(out[places[w], np.arange(f)] + bias[w])
-            pre = np.concatenate(pooled, axis=1)
-            hidden = np.maximum(pre, 0)
-            z = hidden @ dense + slots["db"][0]
-            wrong = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[chosen]) / len(chosen)
-            grad = {k: np.zeros_like(v) for k, v in slots.items()}
-            grad["d"] = hidden.T @ wrong
-            grad["db"] = np.array([wrong.sum()])
-            back = (wrong[:, None] * dense[None, :]) * (pre > 0)
-            for i, w in enumerate(config.widths):
-                g = back[:, i * f : (i + 1) * f]
-                grad[f"b{w}"] = g.sum(axis=0)
-                for j in range(w):
-                    at = flat[places[w] + j]
-                    grad[f"k{w}"][j] = np.einsum("nfd,nf->df", embedding[at], g)
-                    np.add.at(grad["e"], at.ravel(), (g[:, :, None] * kernels[w][j].T[None]).reshape(-1, d))
+            grad = gradient(slots, [rows[i] for i in chosen], labels[chosen], config.widths)
             step += 1
             for k, v in slots.items():
                 g = grad[k] + (config.decay * v if k not in ("db", "e") else 0)
@@ -288,18 +300,22 @@ def _sample(documents: DataFrame, labels: DataFrame, config: Config) -> list:
                 {
                     "rank": batch.column("__rank"),
                     "toxic": batch.column("toxic"),
+                    "n": pa.array([len(x) for x in found], pa.int32()),
                     "hashes": pa.array([x.tobytes() if len(x) <= limit else None for x in found], pa.binary()),
                 }
             )
 
-    rows = joined.mapInArrow(hashed, "rank long, toxic int, hashes binary").where("hashes is not null").collect()
-    kept, tokens = [], 0
-    for row in sorted(rows, key=lambda r: (r.rank, r.toxic, bytes(r.hashes))):
-        tokens += len(row.hashes) // 4
-        if tokens > config.max_tokens:
-            break
-        kept.append((int(row.toxic > 0), np.frombuffer(bytes(row.hashes), np.uint32), row.rank))
-    return kept
+    # Of rows that share an id one counts. Sizes come first, and then only what the bound on the words lets in.
+    each = joined.mapInArrow(hashed, "rank long, toxic int, n int, hashes binary").where("hashes is not null")
+    each = each.groupBy("rank").agg(F.min(F.struct("toxic", "n", "hashes")).alias("x")).select("rank", "x.*")
+    each = Scratch(documents.sparkSession, "toxicity").write(each)
+    sizes = each.select("rank", "n").orderBy("rank").collect()  # at most max_documents pairs of numbers
+    words = np.cumsum([r.n for r in sizes])
+    within = int(np.searchsorted(words, config.max_tokens, side="right"))
+    if not within:
+        return []
+    rows = each.where(F.col("rank") <= sizes[within - 1].rank).collect()  # at most max_tokens words
+    return [(int(r.toxic > 0), np.frombuffer(bytes(r.hashes), np.uint32), r.rank) for r in sorted(rows, key=lambda r: r.rank)]
 
 
 def fit(documents: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
