@@ -2,7 +2,7 @@
 
 Each text is reduced to a row of statistics (lengths, character classes, repetition, line shape) on the executors.
 Trees are grown level by level on quantile histograms in numpy, on the driver, over a bounded sample of labelled
-rows (``Config.max_rows`` rows of statistics in the order of a hash of the id). The forest is flattened into complete
+rows (``Config.max_rows`` rows of statistics in the order of a hash of the id, one for each id). The forest is flattened into complete
 binary trees held in three arrays, so that a batch of documents walks every tree with one gather for each level.
 
 Defined cases: a null or empty text has the statistics of an empty document; repeated rows each get a score; extra
@@ -183,8 +183,9 @@ def fit(documents: DataFrame, labels: DataFrame, config: Config = Config()) -> F
         .limit(config.max_rows)
     )
     joined = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most max_rows ids
-    rows = joined.mapInArrow(_statistics_of, "rank long, quality int, x binary").collect()
-    rows = sorted(((r.rank, r.quality, bytes(r.x)) for r in rows))[: config.max_rows]
+    # Of rows that share an id one counts, so at most max_rows rows come back.
+    each = joined.mapInArrow(_statistics_of, "rank long, quality int, x binary").groupBy("rank").agg(F.min(F.struct("quality", "x")).alias("x"))
+    rows = sorted(((r.rank, r.quality, bytes(r.x)) for r in each.select("rank", "x.*").collect()))
     x = np.array([np.frombuffer(r[2]) for r in rows]).reshape(len(rows), len(FEATURES))
     return train(x, np.array([float(r[1] > 0) for r in rows]), config)
 

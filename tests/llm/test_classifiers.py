@@ -42,6 +42,73 @@ def test_toxicity_learns_from_the_training_fold_alone(spark, docs_dir):
     assert all(abs(again[i] - r.score) < 1e-12 for i, r in first.items())
 
 
+def _tiny_model(rng, words=7, d=3, f=4, widths=(1, 2, 3)):
+    slots = {"e": rng.normal(size=(words + 1, d)), "d": rng.normal(size=f * len(widths)), "db": rng.normal(size=1)}
+    slots["e"][0] = 0
+    slots |= {f"k{w}": rng.normal(size=(w, d, f)) for w in widths} | {f"b{w}": rng.normal(size=f) for w in widths}
+    return slots, widths
+
+
+def _score_by_hand(slots, widths, rows):
+    """Every filter at every window of the text, one product at a time; the text is followed by places without a word."""
+    padded, pooled = [*rows, *[0] * max(widths)], []
+    for w in widths:
+        for k in range(slots[f"b{w}"].shape[0]):
+            values = []
+            for at in range(max(1, len(rows) + max(widths) - w + 1)):
+                values.append(sum(slots["e"][padded[at + j]][c] * slots[f"k{w}"][j][c][k] for j in range(w) for c in range(slots["e"].shape[1])))
+            pooled.append(max(0.0, max(values) + slots[f"b{w}"][k]))
+    z = sum(a * b for a, b in zip(pooled, slots["d"])) + slots["db"][0]
+    return 1 / (1 + np.exp(-z))
+
+
+def test_convolution_by_hand():
+    rng = np.random.default_rng(6)
+    slots, widths = _tiny_model(rng)
+    model = toxicity.Model(np.arange(7, dtype=np.uint32), slots["e"], {w: slots[f"k{w}"] for w in widths}, {w: slots[f"b{w}"] for w in widths}, slots["d"], slots["db"][0])
+    documents = [rng.integers(0, 8, n) for n in (0, 1, 2, 3, 9, 40)]
+    got = toxicity.predict(model, model.tables(), documents)
+    assert np.allclose(got, [_score_by_hand(slots, widths, d.tolist()) for d in documents])
+
+
+def test_gradient_by_differences():
+    rng = np.random.default_rng(8)
+    slots, widths = _tiny_model(rng)
+    documents, labels = [rng.integers(1, 8, n) for n in (3, 5, 8, 12)], np.array([1.0, 0.0, 0.0, 1.0])
+
+    def loss():
+        p = np.array([_score_by_hand(slots, widths, d.tolist()) for d in documents])
+        return -np.mean(labels * np.log(p) + (1 - labels) * np.log(1 - p))
+
+    grad = toxicity.gradient(slots, documents, labels, widths)
+    for name, values in slots.items():
+        for _ in range(6):
+            at = tuple(rng.integers(0, n) for n in values.shape)
+            if name == "e" and at[0] == 0:
+                continue  # the row of no word stays zero
+            before, h = values[at], 1e-5
+            values[at] = before + h
+            up = loss()
+            values[at] = before - h
+            down = loss()
+            values[at] = before
+            assert abs((up - down) / (2 * h) - grad[name][at]) < 1e-6, (name, at)
+
+
+def test_samples_hold_one_text_for_each_id_and_keep_their_bounds(spark):
+    rows, labels = _corpus(120)
+    documents = spark.createDataFrame(rows + rows[:1] * 300 + [(0, "another text", "en", "s", 0)] * 5, "doc_id long, text string, lang string, source string, n_chars long")
+    marks = spark.createDataFrame(labels + labels, "doc_id long, quality int, toxic int")
+    kept = toxicity._sample(documents, marks, toxicity.Config(max_documents=50))
+    assert len(kept) == 50 and len({r[2] for r in kept}) == 50 and [r[2] for r in kept] == sorted(r[2] for r in kept)
+    few = toxicity._sample(documents, marks, toxicity.Config(max_documents=50, max_tokens=300))
+    assert few and sum(len(r[1]) for r in few) <= 300 < sum(len(r[1]) for r in kept[: len(few) + 1])
+    assert toxicity._sample(documents, marks, toxicity.Config(max_tokens=1)) == []
+    forest = quality_classifier.fit(documents, marks, quality_classifier.Config(max_rows=60))
+    again = quality_classifier.fit(documents.dropDuplicates(), marks, quality_classifier.Config(max_rows=60))
+    assert np.array_equal(forest.threshold, again.threshold) and np.array_equal(forest.value, again.value)
+
+
 def test_toxicity_of_odd_rows(spark, small_docs, no_docs):
     model = toxicity.train([np.array([1, 2], np.uint32), np.array([3], np.uint32)] * 20, np.array([1, 0] * 20))
     out = toxicity.score(small_docs, model).collect()
@@ -103,6 +170,91 @@ def test_quality_finds_junk_and_walks_like_a_tree(spark, docs_dir, small_docs, n
     assert scored.count() == small_docs.count() and quality_classifier.score(no_docs, forest).count() == 0
 
 
+def test_statistics_by_hand():
+    text = "The cat #1 | saw THE dog!\nthe cat\n\n  The cat #1 | saw THE dog!  \nÉté représentation? end\tx$"
+    words, lines = text.split(), [x.strip() for x in text.split("\n") if x.strip()]
+    low, n, c = text.lower().split(), len(text.split()), len(text)
+    pairs = Counter(zip(low, low[1:]))
+    want = {
+        "words": np.log1p(n), "characters": np.log1p(c), "word_length": c / n, "space_share": text.count(" ") / c,
+        "upper_share": len(re.findall("[A-Z]", text)) / c, "digit_share": len(re.findall("[0-9]", text)) / c,
+        "symbol_share": len(re.findall(r"[#*$%&<>@^~_=+/\\{}\[\]]", text)) / c, "bang_share": text.count("!") / n, "pipe_share": text.count("|") / n,
+        "other_punctuation": len(re.findall(r"[?;:'\"(),.-]", text)) / n, "wide_share": len(re.findall("[^\x00-\x7f]", text)) / c,
+        "stop_share": sum(w in ("the", "of", "and", "to", "in", "is") for w in low) / n, "line_words": np.log1p(n / len(lines)),
+        "unpunctuated_lines": sum(x[-1] not in ".!?:;" for x in lines) / len(lines), "repeated_lines": 1 - len(set(lines)) / len(lines),
+        "distinct_words": len(set(low)) / n, "top_word": max(Counter(low).values()) / n, "repeated_pairs": sum(x for x in pairs.values() if x > 1) / n,
+        "short_words": sum(len(w.encode()) <= 2 for w in words) / n, "long_words": sum(len(w.encode()) >= 12 for w in words) / n,
+        "symbol_words": sum(w[-1] in "#*$%&|" for w in words) / n,
+    }
+    got = dict(zip(quality_classifier.FEATURES, quality_classifier.statistics(text.encode())))
+    for name, value in want.items():
+        assert abs(got[name] - value) < 1e-12, name
+    assert set(got) - set(want) == {"capital_words"} and not quality_classifier.statistics(None).any()
+
+
+def test_splits_are_the_best_of_all():
+    rng = np.random.default_rng(3)
+    x = np.zeros((300, len(quality_classifier.FEATURES)))
+    x[:, :4] = rng.normal(size=(300, 4)).round(1)
+    y = (x[:, 2] + 0.5 * x[:, 1] + rng.normal(0, 0.5, 300) > 0.4).astype(float)
+    config = quality_classifier.Config(trees=1, depth=1, bins=1000)
+    forest = quality_classifier.train(x, y, config)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h, r = p - y, np.full(len(y), p * (1 - p)), config.ridge
+
+    def gain(left):
+        parts = [(g[m].sum(), h[m].sum()) for m in (left, ~left)]
+        return sum(a * a / (b + r) for a, b in parts) if min(b for _, b in parts) >= config.least_hessian else -1.0
+
+    best = max((gain(x[:, j] <= t), -j, -t) for j in range(4) for t in np.unique(x[:, j])[:-1])
+    got = gain(x[:, forest.feature[0, 0]] <= forest.threshold[0, 0])
+    assert abs(got - best[0]) < 1e-9 and forest.feature[0, 0] == 2
+    for leaf, own in enumerate((x[:, 2] <= forest.threshold[0, 0], x[:, 2] > forest.threshold[0, 0])):
+        assert abs(forest.value[0, leaf] + config.rate * g[own].sum() / (h[own].sum() + r)) < 1e-9
+
+
+def test_quality_of_clashing_columns(spark, small_docs):
+    forest = quality_classifier.Forest(0.0, np.zeros((0, 15), np.int64), np.zeros((0, 15)), np.zeros((0, 16)))
+    out = quality_classifier.score(small_docs.withColumnRenamed("size", "quality_score"), forest)
+    assert out.columns.count("quality_score") == 1 and {r.quality_score for r in out.collect()} == {0.5}
+
+
+def _shares(text):
+    """Shares of characters in repeated lines and n-grams, and the verdict, by counting."""
+    limits = quality_rules.Limits()
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n, total = len(words), sum(map(len, words))
+    lines = [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    again = [x for i, x in enumerate(lines) if x in lines[:i]]
+    line_share, line_chars = len(again) / len(lines), min(1.0, sum(len(x.replace(" ", "")) for x in again) / total)
+    top = dup = chars = 0.0
+    for k, limit in limits.top_ngrams:
+        counts = Counter(tuple(words[i : i + k]) for i in range(n - k + 1))
+        most = max(counts.values(), default=0)
+        if most > 1:
+            top = max(top, max(most * sum(map(len, g)) for g, c in counts.items() if c == most) / total / limit)
+    for k, limit in limits.ngrams:
+        counts = Counter(tuple(words[i : i + k]) for i in range(n - k + 1))
+        inside = {i + j for i in range(n - k + 1) if counts[tuple(words[i : i + k])] > 1 for j in range(k)}
+        share = sum(len(words[i]) for i in inside) / total
+        dup, chars = max(dup, share / limit), max(chars, share)
+    base = _brute(text)[5]
+    kept = not (base or line_share > limits.line_share or line_chars > limits.line_characters or top > 1 or dup > 1)
+    return kept, line_share, line_chars, top, dup, chars
+
+
+def test_shares_and_verdicts_match_counting():
+    rng = random.Random(9)
+    verdicts = Counter()
+    for _ in range(120):
+        passages = [" ".join(rng.choice(["é", "w%d" % rng.randrange(400), "zz"]) for _ in range(rng.randrange(3, 25))) for _ in range(6)]
+        text = "\n".join(rng.choice(passages) if rng.random() < rng.choice([0.1, 0.4]) else " ".join("v%d" % rng.randrange(900) for _ in range(20)) for _ in range(rng.randrange(3, 14)))
+        got, want = quality_rules.measure_text(text.encode()), _shares(text)
+        assert got[6] == want[0] and np.allclose(got[7:], want[1:]), text
+        verdicts[want[0]] += 1
+    assert min(verdicts.values()) > 10
+
+
 def _brute(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
