@@ -8,9 +8,13 @@ the grid.
 
 The corpus is cut into blocks of whole documents, about ``block_tokens`` each, written to the shared folder. A block asks
 for the counts of its distinct n-grams, as sorted hashes dealt to ranges of the hash; each range sums what the blocks
-counted and answers every block in the order it asked. So an n-gram takes about four bytes a block in the shuffle, however
-often it occurs, and no word is hot. Words are told apart by 64 bits, longer n-grams by 48. Every count covers all
-training documents.
+counted and answers every block in the order it asked. So an n-gram takes a few bytes a block in the shuffle, however
+often it occurs, and no word is hot. Every count covers all training documents.
+
+Sizes follow the corpus (``Sizes``). Rows of the exchange number blocks times ranges; both grow with the root of the
+tokens once a row would hold fewer than ``least_keys`` keys, so the rows grow in proportion to the tokens, and a task's
+memory with their root. Tasks number in proportion to ranges and blocks. Words are told apart by 64 bits. Longer n-grams have 20 bits more than the corpus needs to
+number its tokens, up to 64: an n-gram meets another by chance with probability 2^-20 at most, whatever the size.
 
 Defined cases: a null or empty text is one end token; without training documents only the uniform estimate is left;
 repeated rows are documents of their own; rows without doc_id are in the fold of the empty text; an empty table gives
@@ -19,6 +23,7 @@ none; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -35,6 +40,7 @@ from tessera.llm import common
 from tessera.llm.common import Scratch
 
 BUCKETS = 32
+RANGES_PER_TASK = BLOCKS_PER_TASK = 4
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END, START = np.uint64(0x1F3D5B79AB12CD34), np.uint64(0x5A17C0DE83F2961B)
 _PAIR, _TRIPLE = np.uint64(0x27D4EB2F165667C5), np.uint64(0x94D049BB133111EB)
@@ -44,6 +50,8 @@ _PAIR, _TRIPLE = np.uint64(0x27D4EB2F165667C5), np.uint64(0x94D049BB133111EB)
 class Config:
     block_tokens: int = 800_000
     keys_per_range: int = 1_500_000
+    least_keys: int = 64
+    spare_bits: int = 20
     folds: int = 10
     held_out: int = 0
     tuning: int = 1
@@ -51,6 +59,24 @@ class Config:
     least_uniform: float = 1e-4
 
 
+@dataclass(frozen=True)
+class Sizes:
+    """What follows the number of tokens: a block's tokens, a range's keys, ranges of longer n-grams and of words, bits of a key."""
+
+    block_tokens: int
+    longer: int
+    words: int
+    bits: int
+
+    @staticmethod
+    def of(tokens: int, config: Config) -> "Sizes":
+        # A block's 2 keys a token are dealt to 1.5 tokens / keys_per_range ranges.
+        grown = max(1.0, math.sqrt(config.least_keys * tokens / (1.3 * config.block_tokens * config.keys_per_range)))
+        longer = max(1, -(-tokens * 3 // 2 // int(config.keys_per_range * grown)))
+        bits = min(64, max(40, (tokens + 1).bit_length() + 1 + config.spare_bits))
+        return Sizes(int(config.block_tokens * grown), longer, max(1, longer // 8), bits)
+
+
 class _Words(dict):
     """Word to 64-bit hash; forgets everything when it grows large."""
 
@@ -99,7 +125,8 @@ def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Tokens:
     """A block's tokens: hashes of words and ends, each document's bounds, and the keys of its n-grams."""
 
-    def __init__(self, texts: list[bytes]) -> None:
+    def __init__(self, texts: list[bytes], bits: int = 64) -> None:
+        shift = np.uint64(64 - bits)
         words = [t.lower().split() for t in texts]
         self.length = np.array([len(own) + 1 for own in words], np.int64)
         self.end = self.length.cumsum()
@@ -115,8 +142,8 @@ class Tokens:
             before[self.begin] = early[self.begin] = START
             second = self.begin[self.length > 1] + 1
             early[second] = START
-            self.two = _mix(before ^ _PAIR, self.one) >> np.uint64(16)
-            self.three = _mix(_mix(early ^ _TRIPLE, before), self.one) >> np.uint64(16)
+            self.two = _mix(before ^ _PAIR, self.one) >> shift
+            self.three = _mix(_mix(early ^ _TRIPLE, before), self.one) >> shift
 
     def of(self, documents: np.ndarray) -> np.ndarray:
         """Which tokens belong to the documents that are marked."""
@@ -155,7 +182,7 @@ def _spread(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def blocks(documents: DataFrame, config: Config) -> DataFrame:
+def blocks(documents: DataFrame, config: Config, block_tokens: int) -> DataFrame:
     """One row for each block: its documents' ids, folds and texts."""
     base = documents.select("doc_id", common.fold(config.folds).cast("int").alias("__fold"), "text")
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -194,7 +221,7 @@ def blocks(documents: DataFrame, config: Config) -> DataFrame:
                 own[0].append(ids.slice(i, 1)), own[1].append(folds[i]), own[2].append(t or b"")
                 own[3].append(len((t or b"").split()) + 1)
                 full[tuning] += own[3][-1]
-                if full[tuning] >= config.block_tokens:
+                if full[tuning] >= block_tokens:
                     full[tuning] = 0
                     yield row(tuning)
         for tuning in (True, False):
@@ -211,7 +238,7 @@ def _texts(row: dict) -> tuple[list[bytes], np.ndarray]:
     return [joined[e - s : e] for s, e in zip(sizes.tolist(), ends)], np.frombuffer(row["folds"], np.uint8)
 
 
-def requests(block_rows: DataFrame, config: Config, words: int, longer: int) -> DataFrame:
+def requests(block_rows: DataFrame, config: Config, sizes: Sizes) -> DataFrame:
     """(range, block, keys, counts): what each block asks of each range, and what it counted there itself."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,12 +246,12 @@ def requests(block_rows: DataFrame, config: Config, words: int, longer: int) ->
             for i in range(batch.num_rows):
                 row = {n: batch.column(n)[i].as_py() for n in ("block", "folds", "sizes", "texts")}
                 texts, folds = _texts(row)
-                tokens = Tokens(texts)
+                tokens = Tokens(texts, sizes.bits)
                 train = tokens.of(folds != config.held_out)
                 out: list[tuple[int, bytes, bytes]] = []
                 for keys, learnt, bits, count, first in (
-                    (np.concatenate([tokens.two, tokens.three]), np.concatenate([train, train]), 48, longer, 0),
-                    (tokens.one, train, 64, words, longer),
+                    (np.concatenate([tokens.two, tokens.three]), np.concatenate([train, train]), sizes.bits, sizes.longer, 0),
+                    (tokens.one, train, 64, sizes.words, sizes.longer),
                 ):
                     distinct, counts = _counted(keys, learnt)
                     at = _ranges(distinct, bits, count)
@@ -240,8 +267,9 @@ def requests(block_rows: DataFrame, config: Config, words: int, longer: int) ->
     return block_rows.select("block", "folds", "sizes", "texts").mapInArrow(asked, "range int, block long, keys binary, counts binary")
 
 
-def answers(asked: DataFrame) -> DataFrame:
+def answers(asked: DataFrame, sizes: Sizes) -> DataFrame:
     """(block, range, counts, known): the counts of all blocks in the order of the request; known: its learnt words."""
+    parts = max(1, (sizes.longer + sizes.words) // RANGES_PER_TASK)
 
     def summed(table: pa.Table) -> pa.Table:
         keys = [unpack_sorted(b) for b in table.column("keys").to_pylist()]
@@ -264,18 +292,18 @@ def answers(asked: DataFrame) -> DataFrame:
             {"block": table.column("block"), "range": table.column("range"), "counts": pa.array(replies, pa.binary()), "known": pa.array(known, pa.int64())}
         )
 
-    return asked.groupBy("range").applyInArrow(summed, "block long, range int, counts binary, known long")
+    return asked.repartition(parts, "range").groupBy("range").applyInArrow(summed, "block long, range int, counts binary, known long")
 
 
-def _gathered(row: dict, replies: pa.Table, longer: int) -> tuple[Tokens, np.ndarray, list[np.ndarray]]:
+def _gathered(row: dict, replies: pa.Table, sizes: Sizes) -> tuple[Tokens, np.ndarray, list[np.ndarray]]:
     """A block's tokens and folds, and the counts of orders 1 to 3 at every token."""
     texts, folds = _texts(row)
-    tokens = Tokens(texts)
+    tokens = Tokens(texts, sizes.bits)
     ranges = replies.column("range").to_numpy()
     blobs = replies.column("counts").to_pylist()
     order = np.argsort(ranges, kind="stable")
-    many = [unpack(blobs[i]) for i in order if ranges[i] < longer]
-    few = [unpack(blobs[i]) for i in order if ranges[i] >= longer]
+    many = [unpack(blobs[i]) for i in order if ranges[i] < sizes.longer]
+    few = [unpack(blobs[i]) for i in order if ranges[i] >= sizes.longer]
     n = len(tokens.one)
     longer_counts = _spread(np.concatenate([tokens.two, tokens.three]), np.concatenate(many))
     return tokens, folds, [_spread(tokens.one, np.concatenate(few)), longer_counts[:n], longer_counts[n:]]
@@ -297,7 +325,9 @@ def estimates(counts: list[np.ndarray], begin: np.ndarray, total: np.ndarray | f
     p1 = c1 / np.maximum(total, 1)
     p2 = np.divide(c2, seen1, out=np.zeros_like(c2), where=seen1 > 0)
     p3 = np.divide(c3, seen2, out=np.zeros_like(c3), where=seen2 > 0)
-    level = np.minimum(np.log2(np.maximum(np.where(seen2 > 0, seen2, seen1), 0) + 1), 15).astype(np.int64)
+    # Counts up to 3 have a bucket each, as deletion matters most there; larger ones share one by their logarithm.
+    seen = np.maximum(np.where(seen2 > 0, seen2, seen1), 0)
+    level = np.where(seen < 4, seen, np.minimum(np.log2(np.maximum(seen, 1)) + 2, 15)).astype(np.int64)
     return level + np.where(seen2 > 0, 16, 0), np.minimum(p3, 1), np.minimum(p2, 1), np.minimum(p1, 1)
 
 
@@ -340,24 +370,26 @@ def learn_weights(cells: np.ndarray, tokens: np.ndarray, words: int, config: Con
     return weights / weights.sum(axis=1, keepdims=True)
 
 
-def score(documents: DataFrame, config: Config = Config()) -> DataFrame:
-    """(doc_id, fold, n_tokens, n_known, train_tokens, base_score, score) for every document."""
+def score(documents: DataFrame, config: Config = Config(), weights: np.ndarray | None = None) -> DataFrame:
+    """(doc_id, fold, n_tokens, n_known, train_tokens, base_score, score) for every document.
+
+    ``weights`` (bucket, estimate of order 3, 2, 1, 0) are learned unless they are given.
+    """
     spark: SparkSession = documents.sparkSession
     scratch = Scratch(spark, "language-model")
-    rows = scratch.write(blocks(documents, config), compression="none")
-    size = rows.agg(
-        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_documents"), F.lit(0))
-    ).first()
-    longer = max(1, -(-size[0] * 3 // 2 // config.keys_per_range))
-    words = max(1, longer // 8)
-    replies = scratch.write(answers(requests(rows, config, words, longer)), compression="none")
+    measure = documents.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()
+    sizes = Sizes.of(measure.b // 6 + measure.n, config)  # a word and its space take about six bytes
+    rows = scratch.write(blocks(documents, config, sizes.block_tokens), compression="none")
+    size = rows.agg(F.coalesce(F.sum("train_tokens"), F.lit(0)), F.coalesce(F.sum("train_documents"), F.lit(0)), F.count("*")).first()
+    longer = sizes.longer
+    replies = scratch.write(answers(requests(rows, config, sizes), sizes), compression="none")
     known = replies.where(F.col("range") >= longer).agg(F.coalesce(F.sum("known"), F.lit(0))).first()[0]
-    totals = Totals(int(size[1]), int(size[2]), int(known))
+    totals = Totals(int(size[0]), int(size[1]), int(known))
 
     def held_out_cells(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[np.ndarray] = []
         for row in left.to_pylist():
-            tokens, _, counts = _gathered(row, right, longer)
+            tokens, _, counts = _gathered(row, right, sizes)
             for d in range(len(tokens.length)):
                 own = _less_own(tokens, d, counts)
                 n = int(tokens.length[d])
@@ -366,23 +398,25 @@ def score(documents: DataFrame, config: Config = Config()) -> DataFrame:
         return pa.table({"cell": cells, "n": count.astype(np.int64)})
 
     names = ["block", "folds", "sizes", "texts"]
-    tuning = rows.where("tuning").select(*names)
-    chosen = replies.join(rows.where("tuning").select("block"), "block", "left_semi")
-    grid = (
-        tuning.groupBy("block")
-        .cogroup(chosen.groupBy("block"))
-        .applyInArrow(held_out_cells, "cell long, n long")
-        .groupBy("cell")
-        .agg(F.sum("n").alias("n"))
-        .toPandas()  # no more rows than the grid has cells, however large the corpus
-    )
-    weights = learn_weights(grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(float), totals.words, config)
+    if weights is None:
+        chosen = replies.join(rows.where("tuning").select("block"), "block", "left_semi")
+        grid = (
+            rows.where("tuning")
+            .select(*names)
+            .groupBy("block")
+            .cogroup(chosen.groupBy("block"))
+            .applyInArrow(held_out_cells, "cell long, n long")
+            .groupBy("cell")
+            .agg(F.sum("n").alias("n"))
+            .toPandas()  # no more rows than the grid has cells, however large the corpus
+        )
+        weights = learn_weights(grid["cell"].to_numpy(np.int64), grid["n"].to_numpy(float), totals.words, config)
     kind = documents.schema["doc_id"].dataType.simpleString()
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for i, row in enumerate(left.select(names).to_pylist()):
-            tokens, folds, counts = _gathered(row, right, longer)
+            tokens, folds, counts = _gathered(row, right, sizes)
             bucket, *p = estimates(counts, tokens.begin, totals.tokens, totals.documents)
             w = weights[bucket]
             mixed = w[:, 0] * p[0] + w[:, 1] * p[1] + w[:, 2] * p[2] + w[:, 3] / (totals.words + 1)
@@ -403,10 +437,12 @@ def score(documents: DataFrame, config: Config = Config()) -> DataFrame:
             )
         return pa.concat_tables(out)
 
+    parts = max(1, size[2] // BLOCKS_PER_TASK)
     return (
         rows.select("ids", *names)
+        .repartition(parts, "block")
         .groupBy("block")
-        .cogroup(replies.groupBy("block"))
+        .cogroup(replies.repartition(parts, "block").groupBy("block"))
         .applyInArrow(
             scored, f"doc_id {kind}, fold int, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         )

@@ -41,6 +41,53 @@ def test_scores_do_not_depend_on_blocks_or_ranges(spark):
     assert one.keys() == many.keys() and all(math.isclose(one[k], many[k], rel_tol=1e-9) for k in one)
 
 
+def test_scores_equal_a_brute_force_mixture(spark):
+    rows = _docs()
+    rng = np.random.default_rng(4)
+    weights = rng.random((lm.BUCKETS, 4))
+    weights /= weights.sum(axis=1, keepdims=True)
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.score for r in lm.score(documents, lm.Config(block_tokens=900, keys_per_range=500), weights).collect()}
+    tokens = {i: ["^", "^", *(t or "").lower().split(), "$"] for i, t, *_ in rows}
+    grams = [Counter() for _ in range(4)]  # by length; those of length 2 and 3 also stand for contexts
+    for i, own in tokens.items():
+        if common.local_fold(i, 10) == 0:
+            continue
+        for k in range(2, len(own)):
+            for n in (1, 2, 3):
+                grams[n][tuple(own[k - n + 1 : k + 1])] += 1
+    starts = sum(common.local_fold(i, 10) != 0 for i in tokens)
+    total, words = sum(grams[1].values()), len(grams[1])
+
+    def seen(context):
+        return starts if set(context) == {"^"} else grams[len(context)][context]
+
+    def bucket(c):
+        return c if c < 4 else min(int(math.log2(c)) + 2, 15)
+
+    for i, own in tokens.items():
+        want = 0.0
+        for k in range(2, len(own)):
+            c2, c3 = seen(tuple(own[k - 1 : k])), seen(tuple(own[k - 2 : k]))
+            p = [grams[n][tuple(own[k - n + 1 : k + 1])] / c if c else 0.0 for n, c in ((3, c3), (2, c2), (1, total))]
+            w = weights[bucket(c3 or c2) + 16 * (c3 > 0)]
+            want += math.log10(sum(a * b for a, b in zip(w, [*p, 1 / (words + 1)])))
+        assert math.isclose(got[i], want, rel_tol=1e-9), i
+
+
+def test_sizes_follow_the_tokens():
+    config = lm.Config()
+    small, large, huge = (lm.Sizes.of(n, config) for n in (10**8, 10**11, 10**13))
+    assert small.block_tokens == config.block_tokens and (small.bits, huge.bits) == (48, 64)
+    for n, sizes in ((10**11, large), (10**13, huge)):
+        keys = 2 * n
+        rows = (n / sizes.block_tokens) * sizes.longer
+        assert 0.9 < keys / rows / config.least_keys < 1.1  # so rows grow as the tokens do
+    assert huge.block_tokens / large.block_tokens < 10.1
+    for n in (10**6, 10**8, 10**10, 10**12):
+        assert 2 * n / 2 ** lm.Sizes.of(n, config).bits <= 2**-20
+
+
 def test_estimates_are_distributions():
     texts = [b"a b a c", b"a b", b"c c c a"]
     tokens = lm.Tokens(texts)
