@@ -29,6 +29,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -182,6 +183,17 @@ def evolve(lengths: list[int], population: list[np.ndarray], config: Config, see
     return [_labels(x[2], n) for x in ranked], crossed
 
 
+def _slices(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches of about ``limit`` bytes of text, or one row; only a part's texts become Python objects."""
+    for batch in batches:
+        size = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy().astype(np.int64) + 1
+        begin, ends = 0, size.cumsum()
+        while begin < len(size):
+            end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - size[begin] + limit, side="right")))
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
 def pieces(documents: DataFrame, config: Config = Config(), path: str | None = None, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): the token pieces of every document, with their ids as asked for."""
     path = path or tokens.default_path()
@@ -192,10 +204,11 @@ def pieces(documents: DataFrame, config: Config = Config(), path: str | None = N
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, size = tokens.load(path), 4 * config.capacity
-        for part, texts in common.chunks(batches, "text", 4_000_000):
+        for part in _slices(batches, 4_000_000):
             of, number, start, length, crc, held = [], [], [], [], [], []
-            for i, t in enumerate(texts):
-                ids = encoder.encode(t) + end
+            texts = [t or b"" for t in common.text_bytes(part.column("text"))]
+            for i, ids in enumerate(encoder.encode_all(texts)):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), size)):
                     own = ids[at : at + size]
                     of.append(i), number.append(k), start.append(at // 4), length.append(len(own) // 4), crc.append(zlib.crc32(own))

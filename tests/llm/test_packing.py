@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tessera.llm import packing, tokens
@@ -17,6 +18,41 @@ def test_runs_encode_like_whole_texts():
         assert np.frombuffer(own.encode(t.encode()), "<u4").tolist() == direct.encode(t, add_special_tokens=False).ids
 
 
+def test_texts_encode_together_as_apart(monkeypatch):
+    direct = Tokenizer.from_file(tokens.default_path())
+    rng = random.Random(6)
+    alphabet = "abstvremld'\"$%&*|<>-_.,!?09  \n\x0b\x1c\x85ßẞÀàÿŸ×÷µªéÉ\u0301İK漢🙂"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(0, 40))) for _ in range(3000)]
+    texts += ["", " ", "'s''t$'re", "x" * 64 + "ß" * 40, "a1b2" * 100 + ".", "Bad <|endoftext|> <|ENDOFTEXT|> A<|b", "word, Word$$$ " * 400]
+    want = [direct.encode(t, add_special_tokens=False).ids for t in texts]
+    for most, part in ((1_000_000, 1 << 22), (40, 1 << 22), (300, 1000)):
+        monkeypatch.setattr(tokens, "PART", part)
+        own = tokens.RunTokens(tokens.default_path(), most)
+        got = [x for at in range(0, len(texts), 500) for x in own.encode_all([t.encode() for t in texts[at : at + 500]])]
+        assert [np.frombuffer(x, "<u4").tolist() for x in got] == want
+
+
+def test_what_a_worker_remembers_is_bounded():
+    own = tokens.RunTokens(tokens.default_path(), most=1000)
+    own.encode_all([b"%d%s" % (i, b"x" * 300) for i in range(2000)])  # long runs are used, not kept
+    assert len(own.runs) == 0
+    for k in range(20):
+        own.encode_all([b"the same words " + b" ".join(b"w%d.%d" % (k, i) for i in range(200))])
+        assert len(own.runs) <= 1000 and own.runs.nbytes + own.ids.nbytes < 100_000 and len(own.pieces) <= 100
+    made = []
+    own._run = lambda run: made.append(run) or b""
+    own.encode(b"the same words new new")
+    assert made == [b"new"]  # what is asked for stays; a run is made once
+
+
+def test_batches_are_taken_in_small_parts():
+    texts = ["x" * 50, None, "", "y" * 500, "z", "z" * 30] * 20
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    found = list(packing._slices(iter([batch, batch.slice(0, 0), batch.slice(3, 5)]), 100))
+    assert [t for x in found for t in x.column("text").to_pylist()] == [*texts, *texts[3:8]]
+    assert all(x.num_rows == 1 or sum(len(t or "") for t in x.column("text").to_pylist()) <= 100 for x in found)
+
+
 def _valid(bins, lengths, capacity):
     assert sorted(i for own in bins.items for i in own) == list(range(len(lengths)))
     assert all(capacity - sum(lengths[i] for i in own) == r >= 0 for own, r in zip(bins.items, bins.room))
