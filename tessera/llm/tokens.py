@@ -129,6 +129,7 @@ class RunTokens:
         ids = memoryview(self.ids[_places(self.size, of)].tobytes())
         bounds = (np.append(0, self.size[of].cumsum(dtype=np.int64))[cut.offsets.to_numpy()] * 4).tolist()
         self._forget()
+        pa.default_memory_pool().release_unused()  # else a worker holds on to what its largest part took
         return [bytes(ids[a:b]) for a, b in zip(bounds, bounds[1:])]
 
 
